@@ -1,0 +1,4 @@
+"""Registry of the core queries."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
