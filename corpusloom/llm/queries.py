@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import homoglyphs, leakage, overlap, splits
+from corpusloom.llm import homoglyphs, leakage, overlap, pii, splits
 from corpusloom.sources.tables import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -46,4 +46,12 @@ def p3_report(spark, d):
     return overlap.overlap_report(table(spark, d, "just_1_sub_validation_en"), table(spark, d, "just_1_sub_train_en"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p8_found": p8_found, "p8_report": p8_report, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_splits": p6_splits}
+def p9_found(spark, d):
+    return pii.findings(table(spark, d, "documents"), table(spark, d, "given_names"))
+
+
+def p9_masked(spark, d):
+    return pii.masked(table(spark, d, "documents"), table(spark, d, "given_names"))
+
+
+QUERIES = {"p9_found": p9_found, "p9_masked": p9_masked, "p3_found": p3_found, "p3_report": p3_report, "p8_found": p8_found, "p8_report": p8_report, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_splits": p6_splits}
