@@ -55,3 +55,44 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return edges.select(F.col(a).alias("node"), F.col(a).alias("component")).limit(0)
     roots = labels.select(F.col("component").alias("node"), "component").distinct()
     return labels.union(roots.join(labels, "node", "left_anti"))
+
+
+def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Borůvka's rounds on (a, b, weight): the heaviest spanning forest and (node, component).
+
+    Each round every component picks its heaviest edge to another one (ties: the
+    smallest ends), the picks join the forest, pointers are jumped to the new
+    roots, and edges within a component drop out.  Names of components are
+    nodes of them, not the smallest ones.  Weights must not be NULL.
+    """
+    live = checkpointed(
+        edges.filter("a is not null and b is not null and a <> b")
+        .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("weight").alias("weight"))
+        .select("a", "b", "weight", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    )
+    tree, labels = None, None
+    while live.limit(1).count():
+        both = live.select("ca", "cb", "a", "b", "weight").union(live.select("cb", "ca", "a", "b", "weight"))
+        # ends in one order, so that both components rank an edge alike and no long cycles can arise
+        pick = both.groupBy(F.col("ca").alias("node")).agg(F.max(F.struct("weight", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"), F.col("cb").alias("other"))).alias("p"))
+        pick = checkpointed(pick.select("node", F.col("p.other").alias("other"), (-F.col("p.na")).alias("a"), (-F.col("p.nb")).alias("b"), F.col("p.weight").alias("weight")))
+        new = pick.select("a", "b", "weight").distinct()
+        tree = new if tree is None else tree.union(new)
+        back = pick.select(F.col("node").alias("other"), F.col("other").alias("back"))
+        # two components that pick each other: the smaller one is the root
+        up = pick.join(back, "other", "left").select("node", F.when((F.col("back") == F.col("node")) & (F.col("node") < F.col("other")), F.col("node")).otherwise(F.col("other")).alias("up"))
+        root = jumped(checkpointed(up))
+        first = root.select("node", F.col("up").alias("component"))
+        if labels is None:
+            labels = first
+        else:
+            step = root.select(F.col("node").alias("component"), "up")
+            labels = checkpointed(labels.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
+        ra, rb = root.select(F.col("node").alias("ca"), F.col("up").alias("ra")), root.select(F.col("node").alias("cb"), F.col("up").alias("rb"))
+        live = checkpointed(
+            live.join(ra, "ca").join(rb, "cb").filter("ra <> rb").select("a", "b", "weight", F.col("ra").alias("ca"), F.col("rb").alias("cb"))
+        )
+    if labels is None:
+        nothing = edges.select("a", "b", "weight").limit(0)
+        return nothing, edges.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
+    return tree, labels

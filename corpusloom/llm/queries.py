@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import homoglyphs, leakage, overlap, pii, splits
+from corpusloom.llm import clusters, homoglyphs, leakage, neighbours, overlap, pii, splits
 from corpusloom.sources.tables import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -54,4 +54,16 @@ def p9_masked(spark, d):
     return pii.masked(table(spark, d, "documents"), table(spark, d, "given_names"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_masked": p9_masked, "p3_found": p3_found, "p3_report": p3_report, "p8_found": p8_found, "p8_report": p8_report, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_splits": p6_splits}
+def p1_found(spark, d):
+    return neighbours.neighbour_pairs(table(spark, d, "ccf_sentence_embeddings"))
+
+
+def p2_found(spark, d):
+    return clusters.found_clusters(table(spark, d, "ccf_sentence_embeddings"))
+
+
+def p2_clusters(spark, d):
+    return clusters.described_clusters(table(spark, d, "ccf_sentence_embeddings"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters, "p9_found": p9_found, "p9_masked": p9_masked, "p3_found": p3_found, "p3_report": p3_report, "p8_found": p8_found, "p8_report": p8_report, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_splits": p6_splits}
