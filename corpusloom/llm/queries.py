@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import clusters, homoglyphs, leakage, neighbours, overlap, pii, splits
+from corpusloom.llm import clusters, homoglyphs, leakage, neighbours, overlap, packing, pii, splits
 from corpusloom.sources.tables import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -66,4 +66,13 @@ def p2_clusters(spark, d):
     return clusters.described_clusters(table(spark, d, "ccf_sentence_embeddings"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters, "p9_found": p9_found, "p9_masked": p9_masked, "p3_found": p3_found, "p3_report": p3_report, "p8_found": p8_found, "p8_report": p8_report, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_splits": p6_splits}
+def p7_packing(spark, d):
+    return packing.packed_documents(table(spark, d, "documents"))
+
+
+def p7_summary(spark, d):
+    per = p7_packing(spark, d).groupBy("sequence_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("items"))
+    return per.agg(F.count("*").alias("n_sequences"), F.sum("n").alias("n_tokens"), F.sum("items").alias("n_pieces"), F.round(1 - F.sum("n") / (F.count("*") * packing.CAPACITY), 6).alias("unused_share"))
+
+
+QUERIES = {"p7_packing": p7_packing, "p7_summary": p7_summary, "p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters, "p9_found": p9_found, "p9_masked": p9_masked, "p3_found": p3_found, "p3_report": p3_report, "p8_found": p8_found, "p8_report": p8_report, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_splits": p6_splits}
