@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import clusters, homoglyphs, leakage, neighbours, overlap, packing, pii, splits
+from corpusloom.llm import clusters, homoglyphs, leakage, neardup, neighbours, overlap, packing, pii, splits
 from corpusloom.sources.tables import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -75,4 +75,29 @@ def p7_summary(spark, d):
     return per.agg(F.count("*").alias("n_sequences"), F.sum("n").alias("n_tokens"), F.sum("items").alias("n_pieces"), F.round(1 - F.sum("n") / (F.count("*") * packing.CAPACITY), 6).alias("unused_share"))
 
 
-QUERIES = {"p7_packing": p7_packing, "p7_summary": p7_summary, "p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters, "p9_found": p9_found, "p9_masked": p9_masked, "p3_found": p3_found, "p3_report": p3_report, "p8_found": p8_found, "p8_report": p8_report, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_splits": p6_splits}
+P4_TABLES = ["just_1_sub_validation_en", "ccf_processed_data"]
+
+
+def _texts(spark, d):
+    """(tab, key, texts): validation records, and articles with all their units."""
+    records = table(spark, d, "just_1_sub_validation_en").filter("record_id is not null and text is not null")
+    units = table(spark, d, "ccf_processed_data").filter("doc_id is not null and sentences is not null")
+    return (
+        records.groupBy(F.lit(0).alias("tab"), F.col("record_id").alias("key")).agg(F.collect_set("text").alias("texts"))
+        .union(units.groupBy(F.lit(1).alias("tab"), F.col("doc_id").alias("key")).agg(F.collect_set("sentences").alias("texts")))
+    )
+
+
+def _tab_name():
+    return F.element_at(F.array(*map(F.lit, P4_TABLES)), F.col("tab") + 1).alias("tab")
+
+
+def p4_found(spark, d):
+    return neardup.near_copy_pairs(_texts(spark, d)).select(_tab_name(), "key_a", "key_b")
+
+
+def p4_groups(spark, d):
+    return neardup.near_copy_groups(_texts(spark, d)).select(_tab_name(), "key", "class_key", "group_key", "n_links")
+
+
+QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups, "p7_packing": p7_packing, "p7_summary": p7_summary, "p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters, "p9_found": p9_found, "p9_masked": p9_masked, "p3_found": p3_found, "p3_report": p3_report, "p8_found": p8_found, "p8_report": p8_report, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_splits": p6_splits}
