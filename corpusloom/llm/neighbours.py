@@ -21,7 +21,7 @@ from corpusloom.plans.stages import checkpointed
 
 PROJECTIONS, COLLISIONS, REACH = 24, 16, 1.5  # windows of 1.5 standard deviations: a pair at the radius collides in 87 of 100
 FAR = 60.0  # degrees from the nearest pivot beyond which a vector belongs to the rest cell
-BLOCK = 65_536  # vectors of one block of a large cell
+BLOCK = 32_768  # vectors of one block of a large cell
 REST = -1
 
 
@@ -180,7 +180,10 @@ def class_pairs(rows: DataFrame, dim: int, floor: float, block: int = BLOCK) ->
         i, j, cos = i[good], j[good], cos[good]
         return pa.table({"a": np.minimum(name[i], name[j]), "b": np.maximum(name[i], name[j]), "cosine": cos})
 
+    tasks = sum(g * (g + 1) // 2 for g in cuts.values())
     routed = rows.select("v").mapInArrow(route, "cell int, low int, high int, mine int, at_home boolean, name long, vector binary")
+    # about as many partitions as pairs of blocks, so that few large ones fall together
+    routed = routed.repartition(max(2 * tasks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "cell", "low", "high")
     return routed.groupBy("cell", "low", "high").applyInArrow(compare, "a long, b long, cosine double").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
