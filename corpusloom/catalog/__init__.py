@@ -1,4 +1,6 @@
-"""Registry of the core queries."""
+"""Registry of the core queries: QUERIES by name, and the equivalent SQL where there is one."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from corpusloom.catalog import corpus, joins, quality, rollups, samples, vectors
+from corpusloom.catalog.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "joins", "quality", "rollups", "samples", "vectors"]
