@@ -138,7 +138,7 @@ def _hashed_block(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
         codes = np.frombuffer(joined.encode("ascii"), np.uint8)
     else:
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _word_letter()[np.minimum(codes, 0x2FFFF)]
+    letter = _word_letter()[codes if codes.itemsize == 1 else np.minimum(codes, 0x2FFFF)]
     edges = np.diff(letter.view(np.int8), prepend=np.int8(0))
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     power, inverse = _powers(len(codes) + 1)
