@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from corpusloom.catalog.base import ARTICLES, UNITS, F, articles, query, table, units
 from corpusloom.functions import text as T
-from corpusloom.operators import annotate, provenance, rows
+from corpusloom.operators import annotate, provenance, rollup, rows
 from corpusloom.plans.taxonomy import CODES, FRAMES, PARENT
 
 _SPLIT = r"string_split(regexp_replace(trim(coalesce(text, '')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
@@ -143,11 +143,7 @@ e as (select doc_id, sentence_id, k as kind, unnest(from_json(coalesce(json_extr
 @query(f"with {UNITS}, {_NER} select kind, count(*) as n, count(distinct name) as n_distinct from e where length(name) >= 2 and not regexp_matches(name, '^[[:punct:]\\s]+$') group by 1")
 def entity_filter(spark, d):
     """Entities exploded from JSON, pure punctuation and single characters left out."""
-    from corpusloom.operators.rollup import ENTITIES
-
-    p = units(spark, d).select(F.from_json("ner_entities", ENTITIES).alias("e"))
-    kinds = ("PER", "ORG", "LOC")
-    each = p.select(F.explode(F.concat(*[F.transform(F.coalesce(f"e.{k}", F.array().cast("array<string>")), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("name"))) for k in kinds])).alias("x")).select("x.*")
+    each = rollup.exploded(units(spark, d), [])
     return each.filter(T.entity("name")).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("name").alias("n_distinct"))
 
 
@@ -243,10 +239,8 @@ def near_titles(spark, d):
 @query(f"with {UNITS}, {_NER} select doc_id, sentence_id, count(*) as n from e group by 1, 2")
 def json_round_trip(spark, d):
     """Entity JSON decoded, encoded and decoded again (F19); counts per unit."""
-    from corpusloom.operators.rollup import ENTITIES
-
-    once = units(spark, d).select("doc_id", "sentence_id", F.to_json(F.from_json("ner_entities", ENTITIES)).alias("j"))
-    e = once.select("doc_id", "sentence_id", F.from_json("j", ENTITIES).alias("e"))
+    once = units(spark, d).select("doc_id", "sentence_id", F.to_json(F.from_json("ner_entities", rollup.ENTITIES)).alias("j"))
+    e = once.select("doc_id", "sentence_id", F.from_json("j", rollup.ENTITIES).alias("e"))
     size = lambda k: F.coalesce(F.size(f"e.{k}"), F.lit(0))
     n = sum([F.when(size(k) > 0, size(k)).otherwise(0) for k in ("PER", "ORG", "LOC")], F.lit(0))
     return e.select("doc_id", "sentence_id", n.cast("long").alias("n")).filter("n > 0")
@@ -283,7 +277,7 @@ def multi_key_sort(spark, d):
 @query(f"with {ARTICLES} select doc_id, round(epoch(loaded_at - date) / 3600, 2) as hours from articles where date is not null and loaded_at is not null")
 def hours_to_load(spark, d):
     """Hours between two timestamps, two decimals."""
-    return articles(spark, d).filter("date is not null and loaded_at is not null").select("doc_id", T.hours_between(F.col("date").cast("timestamp"), "loaded_at").alias("hours"))
+    return articles(spark, d).filter("date is not null and loaded_at is not null").select("doc_id", T.hours_between("date", "loaded_at").alias("hours"))
 
 
 __all__ = ["FRAMES"]

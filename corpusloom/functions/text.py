@@ -55,7 +55,9 @@ def period(year: str | Column, kind: str) -> Column:
 
 
 def hours_between(a: str | Column, b: str | Column) -> Column:
-    return F.round((F.unix_micros(b) - F.unix_micros(a)) / 3.6e9, 2)
+    """Hours from a to b, two decimals; dates count from midnight, times without zone as UTC times of the session."""
+    micros = lambda x: F.unix_micros((F.col(x) if isinstance(x, str) else x).cast("timestamp"))
+    return F.floor((micros(b) - micros(a)) / 3.6e9 * 100 + 0.5) / 100.0
 
 
 def entity(text: str | Column) -> Column:

@@ -13,10 +13,10 @@ def activity_blocks(df: DataFrame, key: str, ts: str, gap_hours: float = 6.0) ->
     repeated times count each.  Blocks are numbered from 0 per key.
     """
     w = Window.partitionBy(key).orderBy(ts)
-    gap = F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w)) > int(gap_hours * 3_600_000_000)
+    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp")) > int(gap_hours * 3_600_000_000)
     numbered = df.filter(F.col(ts).isNotNull()).withColumn("_new", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("block", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0)))
     out = numbered.groupBy(key, "block").agg(F.count("*").alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last"))
-    return out.withColumn("hours", F.round((F.unix_micros("last") - F.unix_micros("first")) / 3.6e9, 2))
+    return out.withColumn("hours", F.round((F.unix_micros(F.col("last").cast("timestamp")) - F.unix_micros(F.col("first").cast("timestamp"))) / 3.6e9, 2))
 
 
 def densest_blocks(df: DataFrame, key: str, ts: str, gap_hours: float = 6.0) -> DataFrame:

@@ -45,6 +45,18 @@ def article_aggregates(units: DataFrame) -> DataFrame:
 
 
 ENTITIES = "PER array<string>, ORG array<string>, LOC array<string>"
+KINDS = ("PER", "ORG", "LOC")
+
+
+def named(kind: str, names: Column) -> Column:
+    """Array of (kind, name) from an array of names; NULL gives an empty one."""
+    return F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+
+
+def exploded(units: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, kind, name): one row per entity of a unit's JSON; broken JSON, NULL and missing kinds hold none."""
+    parsed = units.select(*keys, F.from_json("ner_entities", ENTITIES).alias("_e"))
+    return parsed.select(*keys, F.explode(F.concat(*[named(k, F.col(f"_e.{k}")) for k in KINDS])).alias("_x")).select(*keys, "_x.kind", "_x.name")
 
 
 def entity_rollup(units: DataFrame) -> DataFrame:
@@ -53,11 +65,10 @@ def entity_rollup(units: DataFrame) -> DataFrame:
     Broken JSON, NULL and missing kinds hold no entities; names compare as they
     are written.  The three kinds are exploded once, deduplicated with partial aggregates.
     """
-    parsed = units.filter("doc_id is not null").select("doc_id", "sentence_id", F.from_json("ner_entities", ENTITIES).alias("e"))
-    kinds = ("PER", "ORG", "LOC")
-    rows = parsed.select("doc_id", *[F.coalesce(f"e.{k}", F.array().cast("array<string>")).alias(k) for k in kinds])
-    counts = rows.groupBy("doc_id").agg(*[F.count_if(F.size(k) > 0).alias(f"n_sentences_with_{k.lower()}") for k in kinds])
-    each = rows.select("doc_id", F.explode(F.concat(*[F.transform(k, lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("name"))) for k in kinds])).alias("x")).select("doc_id", "x.kind", "x.name").distinct()
+    rows = units.filter("doc_id is not null").select("doc_id", "ner_entities", F.from_json("ner_entities", ENTITIES).alias("e"))
+    kinds = KINDS
+    counts = rows.groupBy("doc_id").agg(*[F.count_if(F.coalesce(F.size(f"e.{k}"), F.lit(0)) > 0).alias(f"n_sentences_with_{k.lower()}") for k in kinds])
+    each = exploded(rows, ["doc_id"]).distinct()
     lists = each.groupBy("doc_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("name")))).alias(f"entities_{k.lower()}") for k in kinds])
     empty = F.array().cast("array<string>")
     return counts.join(lists, "doc_id", "left").select(
@@ -68,7 +79,4 @@ def entity_rollup(units: DataFrame) -> DataFrame:
 
 def entity_mentions(units: DataFrame) -> DataFrame:
     """(kind, name, doc_id), distinct: which articles name which entity; pure punctuation and single characters are left out."""
-    parsed = units.select("doc_id", F.from_json("ner_entities", ENTITIES).alias("e"))
-    kinds = ("PER", "ORG", "LOC")
-    each = parsed.select("doc_id", F.explode(F.concat(*[F.transform(F.coalesce(f"e.{k}", F.array().cast("array<string>")), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("name"))) for k in kinds])).alias("x"))
-    return each.select("x.kind", "x.name", "doc_id").filter(entity("name")).distinct()
+    return exploded(units, ["doc_id"]).select("kind", "name", "doc_id").filter(entity("name")).distinct()
