@@ -15,11 +15,11 @@ def vec_topk(spark, d):
     return vectors.top_k(e, e.filter("vec_id % 100 = 0"), "vec_id", "embedding", 64, 10).select("query", "key", F.round("similarity", 5).alias("similarity"))
 
 
-@query(f"with q as (select vec_id, embedding from embeddings where vec_id % 100 = 0) select a.vec_id as query, b.vec_id as key, {_COS} as similarity from q a join embeddings b on a.vec_id <> b.vec_id where list_inner_product(a.embedding::double[], b.embedding::double[]) >= 0.5 qualify row_number() over (partition by a.vec_id order by list_inner_product(a.embedding::double[], b.embedding::double[]) desc, b.vec_id) <= 500")
+@query(f"with q as (select vec_id, embedding from embeddings where vec_id % 100 = 0) select a.vec_id as query, b.vec_id as key, {_COS} as similarity from q a join embeddings b on a.vec_id <> b.vec_id where list_inner_product(a.embedding::double[], b.embedding::double[]) >= 0.3")
 def vec_near_duplicates(spark, d):
-    """Neighbours at least half as similar as copies."""
+    """All neighbours of the query vectors within a similarity."""
     e = table(spark, d, "embeddings")
-    return vectors.top_k(e, e.filter("vec_id % 100 = 0"), "vec_id", "embedding", 64, 500, floor=0.5).select("query", "key", F.round("similarity", 5).alias("similarity"))
+    return vectors.within(e, e.filter("vec_id % 100 = 0"), "vec_id", "embedding", 64, 0.3).select("query", "key", F.round("similarity", 5).alias("similarity"))
 
 
 @query("select doc_id, sentence_id, round(sqrt(list_inner_product(embedding::double[], embedding::double[])), 6) as norm, abs(sqrt(list_inner_product(embedding::double[], embedding::double[])) - 1) <= 1e-3 as is_unit from ccf_sentence_embeddings where embedding is not null group by all")

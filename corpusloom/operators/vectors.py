@@ -19,59 +19,79 @@ def norms(df: DataFrame, vector: str, name: str = "norm") -> DataFrame:
     return df.withColumn(name, F.sqrt(square))
 
 
-def top_k(df: DataFrame, queries: DataFrame, key: str, vector: str, dim: int, k: int, floor: float | None = None) -> DataFrame:
+def usable(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, unit vectors) of the vectors of ``dim`` finite components that aren't all zero."""
+    lists = column.to_pylist()
+    at = np.array([i for i, x in enumerate(lists) if x is not None and len(x) == dim and None not in x], np.int64)
+    x = np.array([lists[i] for i in at], np.float64).reshape(-1, dim)
+    n = np.sqrt((x * x).sum(1))
+    good = np.isfinite(n) & (n > 0)
+    return at[good], x[good] / n[good, None]
+
+
+def _searched(df: DataFrame, queries: DataFrame, key: str, vector: str, dim: int, scan) -> DataFrame:
+    """Union over blocks of queries of ``scan(keys, vectors, batches)`` over all rows."""
+    spark = df.sparkSession
+    schema = T.StructType([T.StructField("query", T.LongType()), T.StructField("key", T.LongType()), T.StructField("similarity", T.DoubleType())])
+    columns = [F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")]
+    rows = df.select(*columns).filter("key is not null and v is not null")
+    found, block = spark.createDataFrame([], schema), []
+
+    def flush(block: list, found: DataFrame) -> DataFrame:
+        at, x = usable(pa.array([r["v"] for r in block], pa.list_(pa.float64())), dim)
+        if not len(at):
+            return found
+        sent = spark.sparkContext.broadcast((np.array([block[i]["key"] for i in at], np.int64), x))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = ((b.column(0).to_numpy(), *usable(b.column(1), dim)) for b in batches)
+            for q, k, s in scan(*sent.value, ((n[at], x) for n, at, x in names)):
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(k), pa.array(s)], names=["query", "key", "similarity"])
+
+        return found.union(rows.mapInArrow(run, schema))
+
+    for r in queries.select(*columns).filter("key is not null and v is not null").toLocalIterator():
+        block.append(r)
+        if len(block) == QUERIES:
+            found, block = flush(block, found), []
+    return flush(block, found) if block else found
+
+
+def top_k(df: DataFrame, queries: DataFrame, key: str, vector: str, dim: int, k: int) -> DataFrame:
     """(query, key, similarity, rank): the k most similar rows of each query by cosine; a row isn't compared with its own key.
 
     Queries are read in blocks of a bounded size and sent to all partitions;
     every partition keeps its k best per query, so the shuffle holds k rows per query and
     partition.  Ties go to the smaller key.  Rows whose vector is NULL, of another length, all zero or not finite are left out.
-    ``floor`` leaves out neighbours below it.
     """
-    spark = df.sparkSession
-    schema = T.StructType([T.StructField("query", T.LongType()), T.StructField("key", T.LongType()), T.StructField("similarity", T.DoubleType())])
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
 
-    def usable(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        lists = column.to_pylist()
-        at = np.array([i for i, x in enumerate(lists) if x is not None and len(x) == dim and None not in x], np.int64)
-        x = np.array([lists[i] for i in at], np.float64).reshape(-1, dim)
-        n = np.sqrt((x * x).sum(1))
-        good = np.isfinite(n) & (n > 0)
-        return at[good], x[good] / n[good, None]
+    def scan(keys, q, parts):
+        best_s = np.full((len(q), k), -np.inf)
+        best_k = np.full((len(q), k), np.iinfo(np.int64).max)
+        for names, x in parts:
+            for i in range(0, len(x), 2048):
+                s = np.round(q @ x[i : i + 2048].T, 9)
+                n = np.broadcast_to(names[i : i + 2048], s.shape)
+                s = np.where(n == keys[:, None], -np.inf, s)
+                both_s, both_k = np.concatenate([best_s, s], 1), np.concatenate([best_k, n], 1)
+                order = np.lexsort((both_k, -both_s), axis=1)[:, :k]
+                best_s, best_k = np.take_along_axis(both_s, order, 1), np.take_along_axis(both_k, order, 1)
+        good = np.isfinite(best_s)
+        yield np.repeat(keys, good.sum(1)), best_k[good], best_s[good]
 
-    def searched(keys: np.ndarray, q: np.ndarray) -> DataFrame:
-        sent = spark.sparkContext.broadcast((keys, q))
+    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "key")
+    return _searched(df, queries, key, vector, dim, scan).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, q = sent.value
-            best_s = np.full((len(q), k), -np.inf)
-            best_k = np.full((len(q), k), np.iinfo(np.int64).max)
-            for b in batches:
-                at, x = usable(b.column(1))
-                names = b.column(0).to_numpy(zero_copy_only=False)[at]
-                for i in range(0, len(x), 2048):
-                    s = np.round(q @ x[i : i + 2048].T, 9)
-                    n = np.broadcast_to(names[i : i + 2048], s.shape)
-                    s = np.where(n == keys[:, None], -np.inf, s)
-                    both_s, both_k = np.concatenate([best_s, s], 1), np.concatenate([best_k, n], 1)
-                    order = np.lexsort((both_k, -both_s), axis=1)[:, :k]
-                    best_s, best_k = np.take_along_axis(both_s, order, 1), np.take_along_axis(both_k, order, 1)
-            good = np.isfinite(best_s) & (best_s >= (floor if floor is not None else -2))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, good.sum(1))), pa.array(best_k[good]), pa.array(best_s[good])], names=["query", "key", "similarity"])
-
-        return rows.mapInArrow(run, schema)
 
-    found, block = spark.createDataFrame([], schema), []
+def within(df: DataFrame, queries: DataFrame, key: str, vector: str, dim: int, floor: float) -> DataFrame:
+    """(query, key, similarity): all rows at least ``floor`` similar to a query, but for the query's own key."""
 
-    def flush(block, found):
-        at, x = usable(pa.array([r["v"] for r in block]))
-        return found.union(searched(np.array([block[i]["key"] for i in at], np.int64), x)) if len(at) else found
+    def scan(keys, q, parts):
+        for names, x in parts:
+            for i in range(0, len(x), 2048):
+                s = np.round(q @ x[i : i + 2048].T, 9)
+                a, b = np.nonzero(s >= floor)
+                other = keys[a] != names[i : i + 2048][b]
+                yield keys[a][other], names[i : i + 2048][b][other], s[a, b][other]
 
-    for r in queries.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null").toLocalIterator():
-        block.append(r)
-        if len(block) == QUERIES:
-            found, block = flush(block, found), []
-    if block:
-        found = flush(block, found)
-    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "key")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return _searched(df, queries, key, vector, dim, scan)
