@@ -219,3 +219,93 @@ def neighbour_pairs(df: DataFrame, dim: int = 96, k: int = 10, floor: float = 0.
         F.when(swap, F.col("d")).otherwise(F.col("doc_id")).alias("doc_id_a"), F.when(swap, F.col("s")).otherwise(F.col("sentence_id")).alias("sentence_id_a"),
         F.when(swap, F.col("doc_id")).otherwise(F.col("d")).alias("doc_id_b"), F.when(swap, F.col("sentence_id")).otherwise(F.col("s")).alias("sentence_id_b"),
     ).distinct()
+
+
+def rehashed_top(w: Windows, raw: np.ndarray, queries: np.ndarray, skip: list[set[int]], k: int, radius: float = 0.2, growth: float = 1.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, cosine): the k best rows of each query, by virtual rehashing.
+
+    The windows of unfinished queries widen by ``growth`` until k verified rows
+    lie within the radius, or the windows hold everything.  ``skip`` has the rows that aren't neighbours of a query.
+    """
+    x, q = w.x, unit(queries)
+    value = q @ w.axes
+    live = np.arange(len(q))
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(live):
+        best: list[list[tuple[float, int]]] = [[] for _ in live]
+        for a, b in w.candidates(value[live], radius, COLLISIONS):
+            cos = np.einsum("ij,ij->i", q[live[a]], x[b])
+            for i, j, c in zip(a.tolist(), b.tolist(), cos.tolist(), strict=True):
+                if j not in skip[live[i]]:
+                    best[i].append((-c, j))
+        done = np.zeros(len(live), bool)
+        for i, found in enumerate(best):
+            found.sort()
+            done[i] = radius >= 2.0 or (len(found) >= k and -found[k - 1][0] >= 1 - radius * radius / 2)
+            if done[i] and found:
+                rows = np.array([j for _, j in found[:k]], np.int64)
+                out.append((np.full(len(rows), live[i]), rows, exact(np.repeat(queries[live[i]][None], len(rows), 0), raw[rows])))
+        live = live[~done]
+        radius *= growth
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def nearest_of_queries(df: DataFrame, every: int = 100, dim: int = 96, k: int = 10, probes: int = 4, block: int = BLOCK) -> DataFrame:
+    """(doc_id, sentence_id, near_doc_id, near_sentence_id, cosine, rank) for keys whose doc_id is divisible by ``every``.
+
+    Every vector is stored in the cell of its nearest pivot (or the rest cell);
+    a query is asked in the cells of its ``probes`` nearest pivots and in the rest
+    cell, and within a cell by virtual rehashing.  Ties go to the smaller key.
+    Copies of the query's own vector under other keys are neighbours.
+    """
+    rows = source(df)
+    sample, total = sampled(rows, dim)
+    pivots = fitted_pivots(sample)
+    share = {c: len(r) / max(len(sample), 1) for c, r, at_home in routes(sample, pivots, 0.0) if at_home}
+    cuts = {c: max(1, int(np.ceil(s * total / block))) for c, s in share.items()}
+    sent = rows.sparkSession.sparkContext.broadcast((pivots, cuts))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, cuts = sent.value
+        for b in batches:
+            at, raw = matrix(b.column(2), dim)
+            doc, sentence = b.column(0).to_numpy()[at], b.column(1).to_numpy()[at]
+            packs, x = packed(raw), unit(raw)
+            name = names(packs)
+
+            def part(rows_, cell, piece, query):
+                return batch(cell=pa.array(cell.astype(np.int32)), piece=pa.array(piece.astype(np.int32)), query=pa.array(np.full(len(rows_), query)), doc_id=doc[rows_], sentence_id=sentence[rows_], vector=pa.array([packs[i] for i in rows_], pa.binary()))
+
+            for cell, mine, at_home in routes(x, pivots, 0.0):
+                if at_home and len(mine):
+                    yield part(mine, np.full(len(mine), cell), (name[mine].view(np.uint64) >> np.uint64(7)) % np.uint64(cuts.get(cell, 1)), False)
+            ask = np.flatnonzero(doc % every == 0)
+            if len(ask):
+                cells = np.concatenate([np.argsort(-(x[ask] @ pivots.T), 1)[:, :probes] if len(pivots) else np.empty((len(ask), 0), np.int64), np.full((len(ask), 1), REST)], 1)
+                for j in range(cells.shape[1]):
+                    n = np.array([cuts.get(int(c), 1) for c in cells[:, j]])
+                    yield part(np.repeat(ask, n), np.repeat(cells[:, j], n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), True)
+
+    def search(t: pa.Table) -> pa.Table:
+        t = t.group_by(["query", "doc_id", "sentence_id"]).aggregate([("vector", "min")])  # repeated keys count once
+        is_query = t["query"].to_numpy()
+        doc, sentence = t["doc_id"].to_numpy(), t["sentence_id"].to_numpy()
+        raw = unpacked(t["vector_min"], dim)
+        q, r = np.flatnonzero(is_query), np.flatnonzero(~is_query)
+        if not len(q) or not len(r):
+            i = j = np.empty(0, np.int64)
+            cos = np.empty(0)
+        else:
+            at = {(a, b): k_ for k_, (a, b) in enumerate(zip(doc[r].tolist(), sentence[r].tolist(), strict=True))}
+            own = [{at[p]} if (p := (a, b)) in at else set() for a, b in zip(doc[q].tolist(), sentence[q].tolist(), strict=True)]
+            i, j, cos = rehashed_top(Windows(unit(raw[r])), raw[r], raw[q], own, k)
+            i, j = q[i], r[j]
+        return pa.table({"doc_id": doc[i], "sentence_id": sentence[i], "near_doc_id": doc[j], "near_sentence_id": sentence[j], "cosine": cos})
+
+    tasks = sum(cuts.values()) + 1
+    routed = rows.mapInArrow(route, "cell int, piece int, query boolean, doc_id long, sentence_id long, vector binary").repartition(2 * tasks, "cell", "piece")
+    found = routed.groupBy("cell", "piece").applyInArrow(search, "doc_id long, sentence_id long, near_doc_id long, near_sentence_id long, cosine double")
+    w = Window.partitionBy("doc_id", "sentence_id").orderBy(F.desc("cosine"), "near_doc_id", "near_sentence_id")
+    return found.distinct().withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

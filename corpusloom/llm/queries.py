@@ -58,6 +58,10 @@ def p1_found(spark, d):
     return neighbours.neighbour_pairs(table(spark, d, "ccf_sentence_embeddings"))
 
 
+def p1_nearest(spark, d):
+    return neighbours.nearest_of_queries(table(spark, d, "ccf_sentence_embeddings"))
+
+
 def p2_found(spark, d):
     return clusters.found_clusters(table(spark, d, "ccf_sentence_embeddings"))
 
@@ -100,4 +104,4 @@ def p4_groups(spark, d):
     return neardup.near_copy_groups(_texts(spark, d)).select(_tab_name(), "key", "class_key", "group_key", "n_links")
 
 
-QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups, "p7_packing": p7_packing, "p7_summary": p7_summary, "p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters, "p9_found": p9_found, "p9_masked": p9_masked, "p3_found": p3_found, "p3_report": p3_report, "p8_found": p8_found, "p8_report": p8_report, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_splits": p6_splits}
+QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups, "p7_packing": p7_packing, "p7_summary": p7_summary, "p1_found": p1_found, "p1_nearest": p1_nearest, "p2_found": p2_found, "p2_clusters": p2_clusters, "p9_found": p9_found, "p9_masked": p9_masked, "p3_found": p3_found, "p3_report": p3_report, "p8_found": p8_found, "p8_report": p8_report, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_splits": p6_splits}
