@@ -292,15 +292,16 @@ def verified(candidates: DataFrame, sets: DataFrame, likeness: float = LIKENESS)
     return candidates.join(a, ["tab", "key_a"]).join(b, ["tab", "key_b"]).mapInArrow(run, "tab int, key_a long, key_b long, likeness double")
 
 
-def similar_texts(texts: DataFrame, likeness: float = LIKENESS) -> tuple[DataFrame, DataFrame]:
+def similar_texts(texts: DataFrame, likeness: float = LIKENESS, plain: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs of class representatives (tab, key_a, key_b, likeness), and classes (tab, key, rep).
 
     ``texts`` has (tab, key, texts).  Keys with the same set of word pairs are
     one class, whose smallest key stands for it; no pair of at least
     ``likeness`` between classes is lost.  NULL and blank texts add nothing, and a key
-    without any word pair is in no class.
+    without any word pair is in no class.  ``plain`` may give the same texts as a
+    single column that needn't be grouped; pairs are counted there.
     """
-    frequency = pair_frequencies(texts.select(F.explode("texts").alias("text")))
+    frequency = pair_frequencies(texts.select(F.explode("texts").alias("text")) if plain is None else plain)
     sets = checkpointed(pair_sets(texts))
     rep = sets.groupBy("tab", "name").agg(F.min("key").alias("rep"))
     classes = checkpointed(sets.select("tab", "key", "name").join(rep, ["tab", "name"]).select("tab", "key", "rep"))
@@ -310,9 +311,9 @@ def similar_texts(texts: DataFrame, likeness: float = LIKENESS) -> tuple[DataFra
     return checkpointed(verified(candidates, sets.join(ends, ["tab", "key"], "left_semi"), likeness)), classes
 
 
-def near_copy_pairs(texts: DataFrame, likeness: float = LIKENESS) -> DataFrame:
+def near_copy_pairs(texts: DataFrame, likeness: float = LIKENESS, plain: DataFrame | None = None) -> DataFrame:
     """(tab, key_a, key_b), smaller key first: all pairs of keys, copies included."""
-    pairs, classes = similar_texts(texts, likeness)
+    pairs, classes = similar_texts(texts, likeness, plain)
     a = classes.select("tab", F.col("rep").alias("key_a"), F.col("key").alias("a"))
     b = classes.select("tab", F.col("rep").alias("key_b"), F.col("key").alias("b"))
     between = pairs.join(a, ["tab", "key_a"]).join(b, ["tab", "key_b"]).select("tab", "a", "b")
@@ -320,7 +321,7 @@ def near_copy_pairs(texts: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     return between.union(copies).select("tab", F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"))
 
 
-def near_copy_groups(texts: DataFrame, likeness: float = LIKENESS) -> DataFrame:
+def near_copy_groups(texts: DataFrame, likeness: float = LIKENESS, plain: DataFrame | None = None) -> DataFrame:
     """(tab, key, class_key, group_key, n_links), one row per key with a word pair.
 
     ``class_key`` is the smallest key with the same set, ``group_key`` the
@@ -328,7 +329,7 @@ def near_copy_groups(texts: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     ``n_links`` counts the classes that this one is like.  Links between
     different texts are all kept; copies aren't expanded into pairs.
     """
-    pairs, classes = similar_texts(texts, likeness)
+    pairs, classes = similar_texts(texts, likeness, plain)
     out = None
     for tab in [r["tab"] for r in classes.select("tab").distinct().collect()]:  # as many as tables
         of = components(pairs.filter(F.col("tab") == tab).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))

@@ -92,16 +92,21 @@ def _texts(spark, d):
     )
 
 
+def _plain(spark, d):
+    """The texts of both tables as one column, as they lie in the files."""
+    return table(spark, d, "just_1_sub_validation_en").select("text").union(table(spark, d, "ccf_processed_data").select("sentences"))
+
+
 def _tab_name():
     return F.element_at(F.array(*map(F.lit, P4_TABLES)), F.col("tab") + 1).alias("tab")
 
 
 def p4_found(spark, d):
-    return neardup.near_copy_pairs(_texts(spark, d)).select(_tab_name(), "key_a", "key_b")
+    return neardup.near_copy_pairs(_texts(spark, d), plain=_plain(spark, d)).select(_tab_name(), "key_a", "key_b")
 
 
 def p4_groups(spark, d):
-    return neardup.near_copy_groups(_texts(spark, d)).select(_tab_name(), "key", "class_key", "group_key", "n_links")
+    return neardup.near_copy_groups(_texts(spark, d), plain=_plain(spark, d)).select(_tab_name(), "key", "class_key", "group_key", "n_links")
 
 
 QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups, "p7_packing": p7_packing, "p7_summary": p7_summary, "p1_found": p1_found, "p1_nearest": p1_nearest, "p2_found": p2_found, "p2_clusters": p2_clusters, "p9_found": p9_found, "p9_masked": p9_masked, "p3_found": p3_found, "p3_report": p3_report, "p8_found": p8_found, "p8_report": p8_report, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_splits": p6_splits}
