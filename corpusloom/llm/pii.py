@@ -18,8 +18,9 @@ from corpusloom.llm.crf import Chain
 from corpusloom.llm.textform import consistent_form
 
 LABELS = ["O", "G", "X", "F", "R", "Eb", "Ei", "Pb", "Pi", "Ib", "Ii", "Ab", "Ai"]
-KIND = {"E": "email", "P": "phone", "I": "id", "A": "address", "G": "name", "R": "name"}
+KIND = {"E": "email", "P": "phone", "I": "id", "A": "address"}
 NAMES_MOST = 100_000  # given names that the workers are sent
+FAMILIES = 5  # family names beside which an unlisted given name must stand
 FILLS = 9  # sentences made of each labelled line
 
 _PIECE = re.compile(r"[ \t]*(?:[^\W\d_]+(?:-[^\W\d_]+)*|\d+|[^\w\s]|_)|[ \t]*[^\S \t]+|[ \t]+$|[ \t]+")
@@ -29,6 +30,8 @@ _AT, _DOT = {"at", "arobase", "@"}, {"dot", "point"}
 _LITERAL = {w.lower() for line in table.SENTENCES.split("\n") for w in re.findall(r"[^\W\d_]+", re.sub(r"[{<]\w[}>]", " ", line))}
 _LITERAL |= _STREETS | _AT | _DOT | {w.lower() for b in table.BODY_AFTER for w in b.split()} | {w.lower() for w in (*table.MONTHS, *table.FIRST)} | {w.strip().lower() for w in table.PLACE_AFTER if w} | {w for e in (*table.ENDINGS, "com", "org", "net") for w in e.split(".")}
 
+_NO_NAMES = {w.lower() for b in table.BODY_AFTER for w in b.split()} | {w.lower() for w in (*table.MONTHS, *table.FIRST)} | {w.strip().lower() for w in table.PLACE_AFTER if w}
+
 LOW, HIGH, DIGITS, POINT, BREAK = range(5)
 
 
@@ -206,7 +209,10 @@ def spans(found: list[str], labels: np.ndarray, a: int, b: int) -> Iterator[tupl
             inside = LABELS.index(tag[0] + "i")
             while end < b and labels[end] == inside:
                 end += 1
-            value = CHECK[tag[0]]("".join(found[k:end]))
+            text = "".join(found[k:end])
+            kind, value = KIND[tag[0]], CHECK[tag[0]](text)
+            if not value and tag[0] != "E":  # how many digits there are decides between numbers
+                kind, value = ("phone", phone(text)) if phone(text) else ("id", insurance_number(text))
         elif tag == "R":
             while end < b and LABELS[labels[end]] == "R":
                 end += 1
@@ -214,7 +220,7 @@ def spans(found: list[str], labels: np.ndarray, a: int, b: int) -> Iterator[tupl
             g = end
             while end < b and LABELS[labels[end]] == "G":
                 end += 1
-            value = person([p.strip() for p in found[g:end]], family)
+            kind, value = "name", person([p.strip() for p in found[g:end]], family)
         elif tag == "G":
             while end < b and LABELS[labels[end]] == "G":
                 end += 1
@@ -224,18 +230,18 @@ def spans(found: list[str], labels: np.ndarray, a: int, b: int) -> Iterator[tupl
             f = end
             while end < b and LABELS[labels[end]] == "F":
                 end += 1
-            value = person([p.strip() for p in given], [p.strip() for p in found[f:end]])
+            kind, value = "name", person([p.strip() for p in given], [p.strip() for p in found[f:end]])
         else:
-            value = None
+            kind, value = "", None
         if value:
-            yield k, end, KIND[tag[0]], value
+            yield k, end, kind, value
         k = end
 
 
 def person(given: list[str], family: list[str]) -> str | None:
-    """Given name, then family name, in lower case; both must be there and be words."""
-    parts = [*given, *family]
-    return " ".join(parts).lower() if given and family and all(p.replace("-", "").isalpha() for p in parts) else None
+    """Given name, then family name, in lower case; both must be there and be words that no body, place or month is called by."""
+    parts = [p.lower() for p in (*given, *family)]
+    return " ".join(parts) if given and family and all(p.replace("-", "").isalpha() and p not in _NO_NAMES for p in parts) else None
 
 
 _EMAIL = re.compile(r"[a-z0-9][a-z0-9._+-]*@[a-z0-9-]+(?:\.[a-z0-9-]+)+")
@@ -317,12 +323,28 @@ def fitted(fills: int = FILLS) -> Chain:
     return Chain(LABELS).fit(xs, ys, followers)
 
 
-def _tagged(docs: DataFrame, names: DataFrame, name_column: str, schema: str, rows) -> DataFrame:
-    spark = docs.sparkSession
+def given_names(docs: DataFrame, names: DataFrame, name_column: str, families: int = FAMILIES) -> frozenset[str]:
+    """The listed given names, and those the chain finds before ``families`` different family names or more.
+
+    The list is incomplete, so a first pass over all documents completes it.
+    """
     listed = [r[0] for r in names.select(name_column).filter(f"{name_column} is not null").distinct().limit(NAMES_MOST + 1).collect()]
     if len(listed) > NAMES_MOST:
         raise ValueError(f"more than {NAMES_MOST} given names")
-    sent = spark.sparkContext.broadcast((fitted(), frozenset(consistent_form(n).strip().lower() for n in listed)))
+    known = frozenset(consistent_form(n).strip().lower() for n in listed)
+
+    def rows(keys, texts, tagged):
+        seen = {tuple(value.split(" ", 1)) for _, found in tagged for _, _, kind, value in found if kind == "name"}
+        each = [(part, family) for given, family in seen for part in given.split("-")]
+        return batch(given=pa.array([g for g, _ in each], pa.string()), family=pa.array([f for _, f in each], pa.string()))
+
+    pairs = _tagged(docs, known, "given string, family string", rows)
+    often = pairs.groupBy("given").agg(F.countDistinct("family").alias("n")).filter(F.col("n") >= families).orderBy(F.desc("n"), "given").limit(NAMES_MOST)
+    return known | {r["given"] for r in often.collect()}
+
+
+def _tagged(docs: DataFrame, given: frozenset[str], schema: str, rows) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast((fitted(), given))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(*sent.value)
@@ -358,7 +380,7 @@ def findings(documents: DataFrame, names: DataFrame, key: str = "doc_id", text:
         return batch(doc_id=pa.array([s[0] for s in seen], pa.int64()), kind=pa.array([s[1] for s in seen], pa.string()), value=pa.array([s[2] for s in seen], pa.string()))
 
     docs = documents.select(F.col(key).cast("long"), F.col(text)).filter(f"{key} is not null and {text} is not null")
-    return _tagged(docs, names, name_column, "doc_id long, kind string, value string", rows).distinct()
+    return _tagged(docs, given_names(docs, names, name_column), "doc_id long, kind string, value string", rows).distinct()
 
 
 def masked(documents: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", name_column: str = "given_name") -> DataFrame:
@@ -379,4 +401,4 @@ def masked(documents: DataFrame, names: DataFrame, key: str = "doc_id", text: st
         return batch(doc_id=pa.array(keys, pa.int64()), text=pa.array(out, pa.string()), n_found=pa.array(counts, pa.int64()))
 
     docs = documents.select(F.col(key).cast("long"), F.col(text)).filter(f"{key} is not null")
-    return _tagged(docs, names, name_column, "doc_id long, text string, n_found long", rows)
+    return _tagged(docs, given_names(docs, names, name_column), "doc_id long, text string, n_found long", rows)

@@ -47,10 +47,14 @@ Witness list : {N} . Near <L> , <D> crews left .
 By {N}
 BY {N}
 {N}
+{N} . <W> dikes near <L> held .
+{N} . <D> crews left . {N} . The <O> met .
+Tel. : {P} . <D> crews left . SIN : {I} . The <O> met .
 During <M> , crews left . During <M> , the <O> met .
 Write to {E} . Readers can write to {E} before noon .
 Tips : {E} . Comments go to {E} before noon . <W> nets tore .
 Phone {P} for details . Call {P} to register . <W> nets tore .
+Call {P} to register . Composez le {P} pour vous inscrire .
 The line ( {P} ) is open until dusk . Tel. : {P} . <W> nets tore .
 The open house is at {A} . <W> nets tore .
 Pumps emptied the basement of {A} twice . <W> nets tore .
@@ -63,6 +67,7 @@ Les prix montent , explique M. {N} , de <L> .
 {N} , romancière , prévient : « Selon l' <O> , <D> fermes ferment .
 {N} habite au {A} depuis le gel . Les routes ferment .
 {N} répond au {P} . Les routes ferment près de <L> .
+{N} répond au {P} en semaine . {N} répond au {P} . Tél. : {P} .
 {N} répond à l' adresse {E} . Les routes ferment .
 {N} a perdu son quai . À <L> , les puits baissent .
 Par {N}
@@ -145,7 +150,8 @@ def _email(r: random.Random) -> str:
     address = r.choice(["", "", "", "mailto:"]) + address
     if r.random() < 0.12:
         address = f"<{address}>"
-    return address.upper() if r.random() < 0.15 else address
+    case = r.random()
+    return address.upper() if case < 0.12 else address.title() if case < 0.24 else address
 
 
 def _phone(r: random.Random) -> str:
@@ -206,10 +212,10 @@ def labelled_table(split, fills: int = 12, seed: int = 7) -> list[list[tuple[str
                 if part[0] in "{<" and len(part) == 3:
                     row += _filled(part, r, split)
                 elif part in ".,;:?!)":
-                    chance = r.random() if part == "." else 1.0
-                    if chance >= 0.15:  # some lines end without a full stop, some with it
-                        row.append((part, "O"))
-                    if chance < 0.3:
+                    chance = r.random() if part == "." else 0.5
+                    if chance >= 0.2:  # some sentences end without a full stop, some with another sign
+                        row.append((part if chance < 0.9 else r.choice("!?"), "O"))
+                    if 0.1 < chance < 0.35:
                         row += [("\n", "O")] * r.randint(1, 2)
                 else:
                     row += [(t, "O") for t in split(" " + part)]
