@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import clusters, homoglyphs, leakage, neardup, neighbours, overlap, packing, pii, splits
+from corpusloom.llm import clusters, homoglyphs, leakage, neardup, neighbours, oracle, overlap, packing, pii, splits
 from corpusloom.sources.tables import table
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracle.SQL
 
 
 def _records(spark, d):
