@@ -41,6 +41,8 @@ SIN : {I} . <W> herders waited .
 The form listed SIN {I} . <W> herders waited .
 social insurance no. {I} appears on the file . In <L> , rain fell .
 A claim showed {N} under number {I} . <W> dikes held .
+social insurance no. {I} appears on the file . A claim showed {N} under number {I} . social insurance no. {I} appears on the file .
+A claim showed {N} under number {I} . SIN : {I} . The form listed SIN {I} . Le dossier porte le numéro d' assurance sociale {I} .
 The note was signed by {N} . The sheet listed {N} .
 Letter to the editor from {N} . <W> parks reopened .
 Witness list : {N} . Near <L> , <D> crews left .
@@ -52,6 +54,8 @@ BY {N}
 Tel. : {P} . <D> crews left . SIN : {I} . The <O> met .
 During <M> , crews left . During <M> , the <O> met .
 Write to {E} . Readers can write to {E} before noon .
+Tips : {E} . Contact - {E} . Courriel : {E} . Tips : {E} . <W> nets tore .
+Contact - {E} . Contact - {E} . <W> nets tore . {N} can be reached at {E} .
 Tips : {E} . Comments go to {E} before noon . <W> nets tore .
 Phone {P} for details . Call {P} to register . <W> nets tore .
 Call {P} to register . Composez le {P} pour vous inscrire .
@@ -215,6 +219,8 @@ def labelled_table(split, fills: int = 12, seed: int = 7) -> list[list[tuple[str
                     chance = r.random() if part == "." else 0.5
                     if chance >= 0.2:  # some sentences end without a full stop, some with another sign
                         row.append((part if chance < 0.9 else r.choice("!?"), "O"))
+                    if 0.35 < chance < 0.42:  # remains of markup
+                        row += [(t, "O") for t in split("<br/>")] + [("\n", "O")]
                     if 0.1 < chance < 0.35:
                         row += [("\n", "O")] * r.randint(1, 2)
                 else:
