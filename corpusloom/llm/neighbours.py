@@ -221,32 +221,38 @@ def neighbour_pairs(df: DataFrame, dim: int = 96, k: int = 10, floor: float = 0.
     ).distinct()
 
 
-def rehashed_top(w: Windows, raw: np.ndarray, queries: np.ndarray, skip: list[set[int]], k: int, radius: float = 0.2, growth: float = 1.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def rehashed_top(w: Windows, raw: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, radius: float = 0.2, growth: float = 1.5, part: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, cosine): the k best rows of each query, by virtual rehashing.
 
     The windows of unfinished queries widen by ``growth`` until k verified rows
-    lie within the radius, or the windows hold everything.  ``skip`` has the rows that aren't neighbours of a query.
+    lie within the radius, or the windows hold everything.  ``own`` has the row
+    that is the query itself, -1 if there is none.  Queries are worked off in parts, which bounds the memory.
     """
     x, q = w.x, unit(queries)
     value = q @ w.axes
-    live = np.arange(len(q))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    while len(live):
-        best: list[list[tuple[float, int]]] = [[] for _ in live]
-        for a, b in w.candidates(value[live], radius, COLLISIONS):
-            cos = np.einsum("ij,ij->i", q[live[a]], x[b])
-            for i, j, c in zip(a.tolist(), b.tolist(), cos.tolist(), strict=True):
-                if j not in skip[live[i]]:
-                    best[i].append((-c, j))
-        done = np.zeros(len(live), bool)
-        for i, found in enumerate(best):
-            found.sort()
-            done[i] = radius >= 2.0 or (len(found) >= k and -found[k - 1][0] >= 1 - radius * radius / 2)
-            if done[i] and found:
-                rows = np.array([j for _, j in found[:k]], np.int64)
-                out.append((np.full(len(rows), live[i]), rows, exact(np.repeat(queries[live[i]][None], len(rows), 0), raw[rows])))
-        live = live[~done]
-        radius *= growth
+    for first in range(0, len(q), part):
+        live = np.arange(first, min(first + part, len(q)))
+        r = radius
+        while len(live):
+            found = []
+            for a, b in w.candidates(value[live], r, COLLISIONS):
+                other = own[live[a]] != b
+                a, b = a[other], b[other]
+                found.append((a.astype(np.int32), b.astype(np.int32), np.concatenate([np.einsum("ij,ij->i", q[live[a[n : n + 200_000]]], x[b[n : n + 200_000]]) for n in range(0, len(a), 200_000)] or [np.empty(0, np.float32)])))
+            a, b, cos = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.float32))
+            order = np.lexsort((b, -cos, a))
+            a, b, cos = a[order], b[order], cos[order]
+            start = np.searchsorted(a, np.arange(len(live)))
+            rank = np.arange(len(a)) - start[a]
+            within = np.bincount(a[cos >= 1 - r * r / 2], minlength=len(live)) if len(a) else np.zeros(len(live), np.int64)
+            done = (within >= k) | (r >= 2.0)
+            keep = done[a] & (rank < k)
+            i, j = live[a[keep]], b[keep].astype(np.int64)
+            if len(i):
+                out.append((i, j, exact(queries[i], raw[j])))
+            live = live[~done]
+            r *= growth
     if not out:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
@@ -299,7 +305,7 @@ def nearest_of_queries(df: DataFrame, every: int = 100, dim: int = 96, k: int =
             cos = np.empty(0)
         else:
             at = {(a, b): k_ for k_, (a, b) in enumerate(zip(doc[r].tolist(), sentence[r].tolist(), strict=True))}
-            own = [{at[p]} if (p := (a, b)) in at else set() for a, b in zip(doc[q].tolist(), sentence[q].tolist(), strict=True)]
+            own = np.array([at.get(p, -1) for p in zip(doc[q].tolist(), sentence[q].tolist(), strict=True)], np.int64)
             i, j, cos = rehashed_top(Windows(unit(raw[r])), raw[r], raw[q], own, k)
             i, j = q[i], r[j]
         return pa.table({"doc_id": doc[i], "sentence_id": sentence[i], "near_doc_id": doc[j], "near_sentence_id": sentence[j], "cosine": cos})
