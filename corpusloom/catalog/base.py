@@ -24,14 +24,16 @@ def query(sql: str | None = None):
     return add
 
 
-def units(spark, d) -> DataFrame:
-    """Units, one row per (doc_id, sentence_id), as last loaded."""
-    return latest(table(spark, d, "ccf_processed_data"), ["doc_id", "sentence_id"], "loaded_at")
+def units(spark, d, *columns: str) -> DataFrame:
+    """Units, one row per (doc_id, sentence_id), as last loaded; only the keys, the load time and ``columns`` are read."""
+    t = table(spark, d, "ccf_processed_data")
+    return latest(t.select(*dict.fromkeys(["doc_id", "sentence_id", "loaded_at", *columns])), ["doc_id", "sentence_id"], "loaded_at")
 
 
-def articles(spark, d) -> DataFrame:
-    """Articles, one row per doc_id, as last loaded."""
-    return latest(table(spark, d, "ccf_full_data"), ["doc_id"], "loaded_at")
+def articles(spark, d, *columns: str) -> DataFrame:
+    """Articles, one row per doc_id, as last loaded; only the key, the load time and ``columns`` are read."""
+    t = table(spark, d, "ccf_full_data")
+    return latest(t.select(*dict.fromkeys(["doc_id", "loaded_at", *columns])), ["doc_id"], "loaded_at")
 
 
 UNITS = "units as (select * from ccf_processed_data qualify row_number() over (partition by doc_id, sentence_id order by loaded_at desc) = 1)"

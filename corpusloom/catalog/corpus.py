@@ -82,7 +82,7 @@ def dense_article_ids(spark, d):
 def null_defaults(spark, d):
     """Defaults in place of NULL and empty fields."""
     default = F.lit("not provided")
-    return articles(spark, d).select(
+    return articles(spark, d, "media", "author", "page_number", "words_count").select(
         "doc_id", F.coalesce("media", default).alias("media"), F.coalesce("author", default).alias("author"), F.coalesce(F.when(F.col("page_number") != "", F.col("page_number")), default).alias("page_number"),
         F.coalesce(F.col("words_count").cast("string"), F.lit("0")).alias("words_count"),
     )
@@ -112,7 +112,7 @@ def nonblank_units(spark, d):
 @query(f"with {ARTICLES} select doc_id, try_cast(page_number as integer) as page, coalesce(try_cast(page_number as integer), 0) as page_or_zero from articles")
 def numeric_coercion(spark, d):
     """Text to number, bad text to NULL or to 0."""
-    return articles(spark, d).select("doc_id", F.expr("try_cast(page_number as int)").alias("page"), rows.as_count("page_number").alias("page_or_zero"))
+    return articles(spark, d, "page_number").select("doc_id", F.expr("try_cast(page_number as int)").alias("page"), rows.as_count("page_number").alias("page_or_zero"))
 
 
 @query(" union all ".join(f"select '{c}' as code, sum({c})::bigint as total from ccf_processed_data having sum({c}) > 0" for c in CODES))
@@ -130,7 +130,7 @@ def section_filter(spark, d):
 @query(f"with {ARTICLES} select year(date)::int as year, count(*) as n from articles where year(date) between 2000 and (select max(year(date)) from articles where year(date) <= 2025) group by 1")
 def year_range(spark, d):
     """Years from 2000 to the last one present up to 2025 (P13); the bound is a scalar subquery."""
-    a = articles(spark, d).select(F.year("date").alias("year")).filter("year is not null")
+    a = articles(spark, d, "date").select(F.year("date").alias("year")).filter("year is not null")
     top = a.filter("year <= 2025").agg(F.max("year").alias("top"))
     return a.join(F.broadcast(top), (a.year >= 2000) & (a.year <= top.top)).groupBy("year").agg(F.count("*").alias("n"))
 
@@ -143,7 +143,7 @@ e as (select doc_id, sentence_id, k as kind, unnest(from_json(coalesce(json_extr
 @query(f"with {UNITS}, {_NER} select kind, count(*) as n, count(distinct name) as n_distinct from e where length(name) >= 2 and not regexp_matches(name, '^[[:punct:]\\s]+$') group by 1")
 def entity_filter(spark, d):
     """Entities exploded from JSON, pure punctuation and single characters left out."""
-    each = rollup.exploded(units(spark, d), [])
+    each = rollup.exploded(units(spark, d, "ner_entities"), [])
     return each.filter(T.entity("name")).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("name").alias("n_distinct"))
 
 
@@ -230,7 +230,7 @@ def exact_copies(spark, d):
 @query(f"with {ARTICLES}, p as (select a.doc_id a, b.doc_id b, a.title x, b.title y from articles a join articles b on a.media = b.media and a.date = b.date and a.doc_id < b.doc_id where a.title is not null and b.title is not null) select a as doc_id_a, b as doc_id_b, round(1 - levenshtein(x, y) / greatest(length(x), length(y)), 6) as similarity from p where 1 - levenshtein(x, y) / greatest(length(x), length(y)) >= 0.95")
 def near_titles(spark, d):
     """Titles at least 95 % alike on the same day in the same outlet (D01): an equi-join blocks the comparison."""
-    a = articles(spark, d).filter("title is not null").select("doc_id", "media", "date", "title")
+    a = articles(spark, d, "title", "media", "date").filter("title is not null").select("doc_id", "media", "date", "title")
     b = a.select(F.col("doc_id").alias("doc_id_b"), "media", "date", F.col("title").alias("y"))
     s = 1 - F.levenshtein("title", "y") / F.greatest(F.length("title"), F.length("y"))
     return a.join(b, ["media", "date"]).filter((F.col("doc_id") < F.col("doc_id_b")) & (s >= 0.95)).select(F.col("doc_id").alias("doc_id_a"), "doc_id_b", F.round(s, 6).alias("similarity"))
@@ -239,7 +239,7 @@ def near_titles(spark, d):
 @query(f"with {UNITS}, {_NER} select doc_id, sentence_id, count(*) as n from e group by 1, 2")
 def json_round_trip(spark, d):
     """Entity JSON decoded, encoded and decoded again (F19); counts per unit."""
-    once = units(spark, d).select("doc_id", "sentence_id", F.to_json(F.from_json("ner_entities", rollup.ENTITIES)).alias("j"))
+    once = units(spark, d, "ner_entities").select("doc_id", "sentence_id", F.to_json(F.from_json("ner_entities", rollup.ENTITIES)).alias("j"))
     e = once.select("doc_id", "sentence_id", F.from_json("j", rollup.ENTITIES).alias("e"))
     size = lambda k: F.coalesce(F.size(f"e.{k}"), F.lit(0))
     n = sum([F.when(size(k) > 0, size(k)).otherwise(0) for k in ("PER", "ORG", "LOC")], F.lit(0))
@@ -258,26 +258,26 @@ def gating_check(spark, d):
 @query(f"with {UNITS} select doc_id, sentence_id, {', '.join(f'case when {p} = 1 then {c} end as {c}' for c, p in _GATES[:5])} from units")
 def gated_labels(spark, d):
     """Children kept only under a positive parent."""
-    return annotate.gated(units(spark, d)).select("doc_id", "sentence_id", *[c for c, _ in _GATES[:5]])
+    return annotate.gated(units(spark, d, *dict.fromkeys(x for g in _GATES[:5] for x in g))).select("doc_id", "sentence_id", *[c for c, _ in _GATES[:5]])
 
 
 @query(f"with {UNITS} select doc_id, sentence_id, coalesce(economic_frame, regexp_matches(coalesce(sentences, ''), '{_LEX['economic_frame']}')::int) as economic_frame, economic_frame is null as filled from units")
 def resumed_labels(spark, d):
     """Only rows whose label is missing are evaluated, the rest is kept."""
-    u = units(spark, d)
+    u = units(spark, d, "economic_frame", "sentences")
     return u.select("doc_id", "sentence_id", annotate.resumed("economic_frame", F.coalesce("sentences", F.lit("")).rlike(_LEX["economic_frame"]).cast("int")), F.col("economic_frame").isNull().alias("filled"))
 
 
 @query(f"with {ARTICLES} select doc_id, media, date, author from articles where media is not null order by media, date desc nulls last, doc_id")
 def multi_key_sort(spark, d):
     """Several sort keys in both directions."""
-    return articles(spark, d).filter("media is not null").select("doc_id", "media", "date", "author").orderBy("media", F.desc_nulls_last("date"), "doc_id")
+    return articles(spark, d, "media", "date", "author").filter("media is not null").select("doc_id", "media", "date", "author").orderBy("media", F.desc_nulls_last("date"), "doc_id")
 
 
 @query(f"with {ARTICLES} select doc_id, round(epoch(loaded_at - date) / 3600, 2) as hours from articles where date is not null and loaded_at is not null")
 def hours_to_load(spark, d):
     """Hours between two timestamps, two decimals."""
-    return articles(spark, d).filter("date is not null and loaded_at is not null").select("doc_id", T.hours_between("date", "loaded_at").alias("hours"))
+    return articles(spark, d, "date").filter("date is not null and loaded_at is not null").select("doc_id", T.hours_between("date", "loaded_at").alias("hours"))
 
 
 __all__ = ["FRAMES"]

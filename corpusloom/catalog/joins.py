@@ -12,13 +12,13 @@ _MINUTE = "md5(concat_ws('-', doc_id, sentence_id, '{0}'))"
 def gold_lookup_join(spark, d):
     """Gold with the last prediction of the same composite key; keys without one are skipped."""
     g = table(spark, d, "ccf_processed_data").filter("urgency is not null").groupBy("doc_id", "sentence_id").agg(F.max("urgency").alias("gold"))
-    return g.join(units(spark, d).select("doc_id", "sentence_id", F.col("economic_frame").alias("predicted")), ["doc_id", "sentence_id"])
+    return g.join(units(spark, d, "economic_frame").select("doc_id", "sentence_id", F.col("economic_frame").alias("predicted")), ["doc_id", "sentence_id"])
 
 
 @query(f"with {UNITS}, a as (select doc_id, sentence_id, economic_frame as first from units where sentence_id % 2 = 1), b as (select doc_id, sentence_id, event as second, md5(concat_ws('-', doc_id, sentence_id, 'order')) as k from units where doc_id % 2 = 0) select doc_id, sentence_id, first, second, row_number() over (order by k, doc_id, sentence_id) as seq from a join b using (doc_id, sentence_id)")
 def coder_intersection(spark, d):
     """Units that both coders coded, in the second coder's order."""
-    u = units(spark, d)
+    u = units(spark, d, "economic_frame", "event")
     a = u.filter("sentence_id % 2 = 1").select("doc_id", "sentence_id", F.col("economic_frame").alias("first"))
     b = u.filter("doc_id % 2 = 0").select("doc_id", "sentence_id", F.col("event").alias("second"), F.md5(F.concat_ws("-", "doc_id", "sentence_id", F.lit("order"))).alias("k"))
     return rows.dense_ids(a.join(b, ["doc_id", "sentence_id"]), ["k", "doc_id", "sentence_id"], "seq").select("doc_id", "sentence_id", "first", "second", F.col("seq").cast("long"))
@@ -55,7 +55,7 @@ def normalized_labels(spark, d):
 @query(f"with {ARTICLES}, l as (select lower(trim(media)) as k, max(region) as region from media_province where region is not null group by 1) select coalesce(region, '(unmapped)') as region, count(*) as n from articles left join l on lower(trim(articles.media)) = k group by 1")
 def media_region(spark, d):
     """Outlets to regions by trimmed lower-case name; unmapped ones are counted, not lost."""
-    return joins.with_region(articles(spark, d), table(spark, d, "media_province")).groupBy(F.coalesce("region", F.lit("(unmapped)")).alias("region")).agg(F.count("*").alias("n"))
+    return joins.with_region(articles(spark, d, "media"), table(spark, d, "media_province")).groupBy(F.coalesce("region", F.lit("(unmapped)")).alias("region")).agg(F.count("*").alias("n"))
 
 
 @query("select doc_id, sentence_id, media from ccf_processed_data where (doc_id, sentence_id) in (select doc_id, sentence_id from ccf_sentence_embeddings)")
@@ -79,7 +79,7 @@ def anti_texts(spark, d):
 @query(f"with {UNITS} select doc_id, sentence_id, coalesce(case when sentence_id % 3 = 0 then 1 end, economic_frame) as economic_frame from units")
 def update_from(spark, d):
     """Predictions merged into the wide table."""
-    u = units(spark, d)
+    u = units(spark, d, "economic_frame")
     new = u.filter("sentence_id % 3 = 0").select("doc_id", "sentence_id", F.lit(1).alias("economic_frame"))
     return rows.merged(u.select("doc_id", "sentence_id", "economic_frame"), new, ["doc_id", "sentence_id"], "economic_frame")
 
@@ -87,7 +87,7 @@ def update_from(spark, d):
 @query(f"with {ARTICLES}, old as (select doc_id, min(loaded_at) as first_seen from ccf_full_data group by 1) select doc_id, 'delta' as side, words_count from articles where doc_id in (select doc_id from ccf_full_data group by 1 having count(distinct loaded_at) > 1) union all select doc_id, 'base', words_count from articles where doc_id not in (select doc_id from ccf_full_data group by 1 having count(distinct loaded_at) > 1)")
 def delta_wins(spark, d):
     """Re-delivered articles replace earlier ones."""
-    a = articles(spark, d).select("doc_id", "words_count")
+    a = articles(spark, d, "words_count").select("doc_id", "words_count")
     again = table(spark, d, "ccf_full_data").groupBy("doc_id").agg(F.countDistinct("loaded_at").alias("n")).filter("n > 1").select("doc_id")
     delta = a.join(again, "doc_id", "left_semi").select("doc_id", F.lit("delta").alias("side"), "words_count")
     return rows.delta_wins(a.select("doc_id", F.lit("base").alias("side"), "words_count"), delta, ["doc_id"])
@@ -109,7 +109,7 @@ def consensus_gold(spark, d):
     one = F.col("economic_frame") == 1
     s = pick(economic_frame=one, event=F.col("event") == 1, messenger=F.col("messenger") == 1)
     t = pick(economic_frame=one & (F.col("eco_cost") == 1), event=F.col("event") == 1, urgency=F.col("urgency") == 1)
-    return units(spark, d).select("doc_id", "sentence_id", F.array_sort(joins.gold(s, t, "consensus")).alias("consensus"), F.array_sort(joins.gold(s, t, "union")).alias("either"))
+    return units(spark, d, "economic_frame", "event", "messenger", "eco_cost", "urgency").select("doc_id", "sentence_id", F.array_sort(joins.gold(s, t, "consensus")).alias("consensus"), F.array_sort(joins.gold(s, t, "union")).alias("either"))
 
 
 @query("select p.doc_id from (select distinct doc_id from ccf_full_data) p where p.doc_id not in (select doc_id from ccf_processed_data where doc_id is not null)")

@@ -23,7 +23,7 @@ _TERMS = "select *, ((a + b) * (a + c) + (c + d) * (b + d)) / (n * n) as pe, p *
 
 def pairs(spark, d):
     """(doc_id, sentence_id, language, date, code, first, second) for the primary labels."""
-    long = rows.long_labels(units(spark, d), ["doc_id", "sentence_id", "language", "date"], PRIMARY, "first")
+    long = rows.long_labels(units(spark, d, "language", "date", *PRIMARY), ["doc_id", "sentence_id", "language", "date"], PRIMARY, "first")
     flip = F.substring(F.md5(F.concat_ws("-", "doc_id", "sentence_id", "code")), 1, 1) == "0"
     return long.withColumn("second", F.when(flip, 1 - F.col("first")).otherwise(F.col("first")))
 

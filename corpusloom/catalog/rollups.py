@@ -19,13 +19,13 @@ AGGREGATES = f"{UNITS}, {_SHARES}, aggregates as (select *, {_TOP} as top_frame,
 
 
 def aggregates(spark, d):
-    return rollup.article_aggregates(units(spark, d))
+    return rollup.article_aggregates(units(spark, d, "language", *CODES))
 
 
 @query(f"with {UNITS} select language, count(*) as n from units group by 1")
 def lang_counts(spark, d):
     """Units by language."""
-    return units(spark, d).groupBy("language").agg(F.count("*").alias("n"))
+    return units(spark, d, "language").groupBy("language").agg(F.count("*").alias("n"))
 
 
 @query("select media, count(*) as n from ccf_full_data where media is not null group by 1 order by 2 desc, 1 limit 10")
@@ -37,7 +37,7 @@ def outlet_topn(spark, d):
 @query(f"with {ARTICLES} select year(date)::int as year, count(*) as n from articles where date is not null group by 1 order by 1")
 def year_counts(spark, d):
     """Articles by year."""
-    return articles(spark, d).filter("date is not null").groupBy(F.year("date").alias("year")).agg(F.count("*").alias("n")).orderBy("year")
+    return articles(spark, d, "date").filter("date is not null").groupBy(F.year("date").alias("year")).agg(F.count("*").alias("n")).orderBy("year")
 
 
 @query("select code, coalesce(n_en, 0)::bigint as n_en, coalesce(n_fr, 0)::bigint as n_fr from (" + " union all ".join(f"select '{c}' as code, sum(case when language = 'EN' then {c} end) as n_en, sum(case when language = 'FR' then {c} end) as n_fr from ccf_processed_data" for c in CODES) + ")")
@@ -85,7 +85,7 @@ def class_counts(spark, d):
 @query(f"with {UNITS} select code, language, value, count(*) as n from (" + " union all ".join(f"select '{c}' as code, language, {c} as value from units where {c} is not null" for c in CODES) + ") group by all")
 def prediction_value_counts(spark, d):
     """Values of every label by language, NULL left out."""
-    u = units(spark, d)
+    u = units(spark, d, "language", *CODES)
     sums = u.groupBy("language").agg(*[x for c in CODES for x in (F.count_if(F.col(c) == 0).alias(f"{c}|0"), F.count_if(F.col(c) == 1).alias(f"{c}|1"))])
     long = sums.unpivot(["language"], [f"`{c}|{v}`" for c in CODES for v in (0, 1)], "k", "n").filter("n > 0")
     return long.select(F.split("k", r"\|")[0].alias("code"), "language", F.split("k", r"\|")[1].cast("int").alias("value"), "n")
@@ -101,7 +101,7 @@ def article_aggregates(spark, d):
 @query(f"with {AGGREGATES} select year(date)::int as year, {', '.join(f'round(100 * avg(prop_{f}), 6) as {f}' for f in FRAMES)}, count(*) as n from aggregates join articles using (doc_id) where date is not null group by 1".replace("with units", f"with {ARTICLES}, units", 1))
 def frames_by_year(spark, d):
     """Mean frame shares by year of publication."""
-    a = aggregates(spark, d).join(articles(spark, d).select("doc_id", "date").filter("date is not null"), "doc_id")
+    a = aggregates(spark, d).join(articles(spark, d, "date").select("doc_id", "date").filter("date is not null"), "doc_id")
     return a.groupBy(F.year("date").alias("year")).agg(*[F.round(100 * F.avg(f"prop_{f}"), 6).alias(f) for f in FRAMES], F.count("*").alias("n"))
 
 
@@ -128,13 +128,13 @@ e as (select doc_id, sentence_id, k as kind, unnest(from_json(coalesce(json_extr
     f"coalesce((select list_sort(list(distinct name)) from e where e.doc_id = d.doc_id and kind = '{k}'), []) as entities_{k.lower()}, coalesce((select count(distinct name) from e where e.doc_id = d.doc_id and kind = '{k}'), 0)::int as n_unique_{k.lower()}, coalesce((select count(distinct sentence_id) from e where e.doc_id = d.doc_id and kind = '{k}'), 0) as n_sentences_with_{k.lower()}" for k in ("PER", "ORG", "LOC")) + " from d")
 def entity_rollup(spark, d):
     """Entities of each article, deduplicated, with counts."""
-    return rollup.entity_rollup(units(spark, d))
+    return rollup.entity_rollup(units(spark, d, "ner_entities"))
 
 
 @query(f"with {UNITS}, {_NER} select kind, name, n from (select kind, name, count(distinct doc_id) as n, row_number() over (partition by kind order by count(distinct doc_id) desc, name) as r from e where length(name) >= 2 and not regexp_matches(name, '^[[:punct:]\\s]+$') group by 1, 2) where r <= 10")
 def entity_topk(spark, d):
     """Ten entities of each kind named by most articles."""
-    n = rollup.entity_mentions(units(spark, d)).groupBy("kind", "name").agg(F.count("*").alias("n"))
+    n = rollup.entity_mentions(units(spark, d, "ner_entities")).groupBy("kind", "name").agg(F.count("*").alias("n"))
     w = Window.partitionBy("kind").orderBy(F.desc("n"), "name")
     return n.withColumn("r", F.row_number().over(w)).filter("r <= 10").drop("r")
 
@@ -142,7 +142,7 @@ def entity_topk(spark, d):
 @query(f"with {UNITS} select count(distinct doc_id) as n_articles, count(distinct (doc_id, sentence_id)) as n_units, count(*) as n, count(distinct media) as n_outlets, count(*) filter (where sentences is null) as n_without_text from units")
 def distinct_checks(spark, d):
     """Uniqueness and completeness."""
-    return units(spark, d).agg(
+    return units(spark, d, "media", "sentences").agg(
         F.countDistinct("doc_id").alias("n_articles"), F.countDistinct("doc_id", "sentence_id").alias("n_units"), F.count("*").alias("n"), F.countDistinct("media").alias("n_outlets"), F.count_if(F.col("sentences").isNull()).alias("n_without_text"))
 
 
@@ -164,7 +164,7 @@ def pivot_label_lang(spark, d):
 @query(f"with {UNITS} select coalesce(language, 'ALL') as language, coalesce(code, 'ALL') as code, n from (select language, code, sum(v) as n from (select language, unnest(['economic_frame', 'event']) as code, unnest([economic_frame, event]) as v from units) where v is not null group by grouping sets ((code, language), (code), ())) order by code = 'ALL', code, case language when 'EN' then 0 when 'FR' then 1 else 2 end")
 def custom_order(spark, d):
     """Totals by grouping sets, in the order label, EN, FR, ALL."""
-    l = rows.long_labels(units(spark, d), ["language"], ["economic_frame", "event"])
+    l = rows.long_labels(units(spark, d, "language", "economic_frame", "event"), ["language"], ["economic_frame", "event"])
     g = l.groupingSets([["code", "language"], ["code"], []], "code", "language").agg(F.sum("value").alias("n"))
     out = g.select(F.coalesce("language", F.lit("ALL")).alias("language"), F.coalesce("code", F.lit("ALL")).alias("code"), "n")
     return out.orderBy(F.col("code") == "ALL", "code", F.when(F.col("language") == "EN", 0).when(F.col("language") == "FR", 1).otherwise(2))
@@ -179,7 +179,7 @@ def distinct_outlets(spark, d):
 @query(f"with {UNITS} select doc_id, max(sentence_id) as last_sentence, max_by(md5(coalesce(sentences, '')), sentence_id) as last_md5 from units where doc_id is not null group by 1")
 def last_unit(spark, d):
     """The row with the largest order key per group."""
-    return units(spark, d).filter("doc_id is not null").groupBy("doc_id").agg(F.max("sentence_id").alias("last_sentence"), F.max_by(F.md5(F.coalesce("sentences", F.lit(""))), "sentence_id").alias("last_md5"))
+    return units(spark, d, "sentences").filter("doc_id is not null").groupBy("doc_id").agg(F.max("sentence_id").alias("last_sentence"), F.max_by(F.md5(F.coalesce("sentences", F.lit(""))), "sentence_id").alias("last_md5"))
 
 
 __all__ = ["T"]

@@ -27,7 +27,7 @@ _W = " + ".join(f"case when {c} = 1 then 1.0::double / sqrt(greatest((select sum
 @query(f"with {UNITS}, w as (select doc_id, sentence_id, {_W} as w from units) select doc_id, sentence_id, round(case when w > 0 then w else (select min(w) from w where w > 0) end, 9) as weight from w")
 def row_weights(spark, d):
     """Root-inverse weights over the primary labels."""
-    return sampling.row_weights(units(spark, d).select("doc_id", "sentence_id", *PRIMARY), PRIMARY).select("doc_id", "sentence_id", F.round("weight", 9).alias("weight"))
+    return sampling.row_weights(units(spark, d, *PRIMARY).select("doc_id", "sentence_id", *PRIMARY), PRIMARY).select("doc_id", "sentence_id", F.round("weight", 9).alias("weight"))
 
 
 _U = "((('0x' || substr(md5(concat_ws('|', doc_id, sentence_id, '42')), 1, 13))::bigint::double + 0.5) / 4503599627370496)"
@@ -36,20 +36,20 @@ _U = "((('0x' || substr(md5(concat_ws('|', doc_id, sentence_id, '42')), 1, 13)):
 @query(f"with {UNITS}, w as (select doc_id, sentence_id, {_W} as w from units), x as (select doc_id, sentence_id, case when w > 0 then w else (select min(w) from w where w > 0) end as w from w) select doc_id, sentence_id from x order by ln({_U}) / w desc, doc_id, sentence_id limit 1000")
 def weighted_sample(spark, d):
     """A thousand units without replacement, rare labels preferred."""
-    w = sampling.row_weights(units(spark, d).select("doc_id", "sentence_id", *PRIMARY), PRIMARY)
+    w = sampling.row_weights(units(spark, d, *PRIMARY).select("doc_id", "sentence_id", *PRIMARY), PRIMARY)
     return sampling.weighted_sample(w, 1000, "weight", "doc_id", "sentence_id").select("doc_id", "sentence_id")
 
 
 @query(f"with {UNITS} select doc_id, sentence_id, language from units qualify row_number() over (partition by language order by md5(concat_ws('|', doc_id, sentence_id, '42')), doc_id, sentence_id) <= 2000")
 def first_round_sample(spark, d):
     """Two thousand units of each language in a fixed random order."""
-    return sampling.first_per_group(units(spark, d).select("doc_id", "sentence_id", "language"), "language", 2000, "doc_id", "sentence_id")
+    return sampling.first_per_group(units(spark, d, "language").select("doc_id", "sentence_id", "language"), "language", 2000, "doc_id", "sentence_id")
 
 
 @query()
 def sample_caps(spark, d):
     """Sample with a floor and a ceiling per label (X04-X08); the adjusting loop isn't SQL."""
-    u = units(spark, d).select("doc_id", "sentence_id", "language", *PRIMARY)
+    u = units(spark, d, "language", *PRIMARY).select("doc_id", "sentence_id", "language", *PRIMARY)
     counts = {r["language"]: r["count"] for r in u.filter("language is not null").groupBy("language").count().collect()}
     out = None
     for language, quota in sampling.language_quotas(counts, 600).items():
