@@ -52,19 +52,19 @@ def guess(token: str) -> str | None:
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys, texts = b.columns
+        keys, texts, source = b.columns
         form = [consistent_form(t) for t in strings(texts)]
-        yield batch(key=keys, form=pa.array(form, pa.string()), doubtful=pa.array([doubtful_tokens(f) if f and not f.isascii() else [] for f in form], pa.list_(pa.string())))
+        yield batch(key=keys, source=source, form=pa.array(form, pa.string()), doubtful=pa.array([doubtful_tokens(f) if f and not f.isascii() else [] for f in form], pa.list_(pa.string())))
 
 
 def _with_repairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        key, form, repairs = b.columns
+        source, form, repairs = b.columns
         out = []
         for f, r in zip(strings(form), repairs.to_pylist(), strict=True):
             known = {x["token"]: x["word"] for x in r or ()}
             out.append(_TOKEN.sub(lambda m, known=known: known.get(m.group(), m.group()), f) if known else f)
-        yield batch(key=key, form=pa.array(out, pa.string()))
+        yield batch(source=source, form=pa.array(out, pa.string()))
 
 
 def _guesses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,23 +75,25 @@ def _guesses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def consistent_texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, form): every row's text in its consistent form; other columns are left out.
+    """(key, source, form): every row's text in its consistent form, and the digest of the text as it was.
 
     Per token: full-width forms, ligatures, accents, widthless characters and
     non-breaking spaces are made plain; letters with a sure Latin twin are
     replaced where every foreign letter of the token has one.  A token that
     still mixes scripts is judged by its dominant script: it is repaired with
     rough twins only if the result is a word of the corpus, else it stays.
-    A NULL text gives a NULL form, an empty one an empty form.  Repeated rows stay.
+    A NULL text gives a NULL form, an empty one an empty form.  Repeated rows
+    stay; a key may come with several texts.
     """
-    forms = checkpointed(df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_forms, "key long, form string, doubtful array<string>"))
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).select("key", "text", F.md5("text").alias("source"))
+    forms = checkpointed(rows.mapInArrow(_forms, "key long, source string, form string, doubtful array<string>"))
     doubtful = forms.select(F.explode("doubtful").alias("token")).distinct().mapInArrow(_guesses, "token string, word string")
     vocabulary = forms.select(F.explode(F.split(F.lower("form"), r"[^\p{L}\p{N}]+")).alias("seen")).filter(F.col("seen").rlike("^[a-z]+$")).distinct()
     sure = doubtful.join(vocabulary, F.lower("word") == F.col("seen"), "left_semi")
-    at = forms.filter(F.size("doubtful") > 0).select("key", "form", F.explode("doubtful").alias("token")).distinct()
-    repairs = at.join(sure, "token").groupBy("key", "form").agg(F.collect_list(F.struct("token", "word")).alias("repairs"))
-    mended = repairs.mapInArrow(_with_repairs, "key long, form string").select("key", F.col("form").alias("mended"))
-    return forms.select("key", "form").join(mended.dropDuplicates(["key"]), "key", "left").select("key", F.coalesce("mended", "form").alias("form"))
+    at = forms.filter(F.size("doubtful") > 0).select("source", "form", F.explode("doubtful").alias("token")).distinct()
+    repairs = at.join(sure, "token").groupBy("source", "form").agg(F.collect_list(F.struct("token", "word")).alias("repairs"))
+    mended = repairs.mapInArrow(_with_repairs, "source string, form string").select("source", F.col("form").alias("mended"))
+    return forms.select("key", "source", "form").join(mended, "source", "left").select("key", "source", F.coalesce("mended", "form").alias("form"))
 
 
 def digest(text: str) -> bytes:
@@ -105,13 +107,9 @@ def same_looking_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     paired, and only then the members joined in, so many copies of one text
     are never paired with one another.  NULL and blank texts are no cases.
     """
-    texts = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null").distinct()
-    forms = consistent_texts(texts.select("key", "text"), "key", "text")
-    members = checkpointed(
-        texts.join(forms.filter(F.col("form").rlike(r"\S")), "key")
-        .select("key", F.md5("form").alias("form"), F.md5("text").alias("text"))
-        .distinct()
-    )
+    texts = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key), F.col(text)).distinct()
+    forms = consistent_texts(texts, key, text).filter(F.col("form").rlike(r"\S"))
+    members = checkpointed(forms.select("key", F.md5("form").alias("form"), F.col("source").alias("text")).distinct())
     classes = members.select("form", "text").distinct()
     two = classes.join(classes.select("form", F.col("text").alias("other")), "form").filter("text < other")
     a = members.select("form", "text", F.col("key").alias("a"))
