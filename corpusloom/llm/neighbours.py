@@ -261,9 +261,10 @@ def rehashed_top(w: Windows, raw: np.ndarray, queries: np.ndarray, own: np.ndarr
 def nearest_of_queries(df: DataFrame, every: int = 100, dim: int = 96, k: int = 10, probes: int = 4, block: int = BLOCK) -> DataFrame:
     """(doc_id, sentence_id, near_doc_id, near_sentence_id, cosine, rank) for keys whose doc_id is divisible by ``every``.
 
-    Every vector is stored in the cell of its nearest pivot (or the rest cell);
-    a query is asked in the cells of its ``probes`` nearest pivots and in the rest
-    cell, and within a cell by virtual rehashing.  Ties go to the smaller key.
+    Every vector is stored in the cell of its nearest pivot (or the rest cell).
+    A query near a pivot is asked in that cell, one far from all pivots in the
+    cells of its ``probes`` nearest pivots and in the rest cell; within a cell by
+    virtual rehashing.  Ties go to the smaller key.
     Copies of the query's own vector under other keys are neighbours.
     """
     rows = source(df)
@@ -289,10 +290,17 @@ def nearest_of_queries(df: DataFrame, every: int = 100, dim: int = 96, k: int =
                     yield part(mine, np.full(len(mine), cell), (name[mine].view(np.uint64) >> np.uint64(7)) % np.uint64(cuts.get(cell, 1)), False)
             ask = np.flatnonzero(doc % every == 0)
             if len(ask):
-                cells = np.concatenate([np.argsort(-(x[ask] @ pivots.T), 1)[:, :probes] if len(pivots) else np.empty((len(ask), 0), np.int64), np.full((len(ask), 1), REST)], 1)
-                for j in range(cells.shape[1]):
-                    n = np.array([cuts.get(int(c), 1) for c in cells[:, j]])
-                    yield part(np.repeat(ask, n), np.repeat(cells[:, j], n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), True)
+                s = x[ask] @ pivots.T if len(pivots) else np.empty((len(ask), 0), np.float32)
+                order = np.argsort(-s, 1)[:, :probes]
+                placed = np.degrees(np.arccos(np.clip(s.max(1), -1, 1))) <= FAR if len(pivots) else np.zeros(len(ask), bool)
+                home = ask[placed]
+                outer = ask[~placed]
+                asked = [(home, order[placed, 0])] if len(pivots) else []
+                asked += [(outer, order[~placed, j]) for j in range(order.shape[1])] + [(outer, np.full(len(outer), REST))]
+                for who, cells in asked:
+                    n = np.array([cuts.get(int(c), 1) for c in cells], np.int64)
+                    if len(who):
+                        yield part(np.repeat(who, n), np.repeat(cells, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), True)
 
     def search(t: pa.Table) -> pa.Table:
         t = t.group_by(["query", "doc_id", "sentence_id"]).aggregate([("vector", "min")])  # repeated keys count once
