@@ -119,6 +119,9 @@ def assigned_splits(comp: DataFrame, shares: dict[str, float] | None = None, bef
     kept = old.filter("low is not null").select("component", F.expr("if(low = high, low, 'quarantined')").alias("split"), "size")
     new = old.filter("low is null").select("component", "size")
     held = {r["split"]: r["n"] for r in kept.groupBy("split").agg(F.sum("size").alias("n")).collect()}  # as many rows as splits
+    gone = before.select("record_id", "split").dropDuplicates(["record_id"]).filter("split is not null").join(comp.select("record_id"), "record_id", "left_anti")
+    for r in gone.groupBy("split").agg(F.count("*").alias("n")).collect():  # as many rows as splits
+        held[r["split"]] = held.get(r["split"], 0) + r["n"]
     sizes = [(r["size"], r["n"]) for r in new.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect()]  # distinct sizes only
     everything = sum(n for s, n in held.items() if s != "quarantined") + sum(s * n for s, n in sizes)
     plan = filled(sizes, {s: everything * p / total - held.get(s, 0) for s, p in shares.items()})

@@ -136,6 +136,13 @@ def test_related_and_splits(spark):
     assert splits.related_groups(records.limit(0), articles).count() == 0 and splits.assigned_splits(comp.limit(0)).count() == 0
 
 
+def test_earlier_records_count_toward_the_proportions(spark):
+    new = spark.range(1000, 2000).select(F.col("id").alias("record_id"), F.col("id").alias("component"))
+    before = spark.range(1000).select(F.col("id").alias("record_id"), F.lit("train").alias("split"))
+    share = {r["split"]: r["count"] for r in splits.assigned_splits(new, before=before).groupBy("split").count().collect()}
+    assert abs(share["train"] - 600) < 20 and abs(share["validation"] - 200) < 20 and abs(share["test"] - 200) < 20
+
+
 def collection(seed, n=60):
     r = random.Random(seed)
     base = [sentence(r, r.choice([1, 2, 3, 5, 8, 20, 40])) for _ in range(n)]
