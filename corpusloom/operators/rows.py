@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.plans.stages import checkpointed
 from corpusloom.plans.taxonomy import CODES
 
 
@@ -90,14 +91,17 @@ def long_labels(df: DataFrame, keys: list[str], codes: list[str] = CODES, name:
 def dense_ids(df: DataFrame, order: list[str], name: str = "doc_id", start: int = 1) -> DataFrame:
     """Replaces ``name`` by 1, 2, 3, ... in a given order, without gathering the rows in one task.
 
-    Rows are range-partitioned, counted per partition, and numbered from their
-    partition's offset.  The order must be total for a fixed result.
+    Rows are range-partitioned, sorted and numbered within their partition, and
+    written once; partitions are counted over what was written, so that bounds
+    of ranges, which are sampled anew with every run, can't move rows between
+    the count and the numbers.  The order must be total for a fixed result;
+    NULLs go first, and an empty table stays empty.
     """
     rows = df.drop(name)
-    parts = rows.repartitionByRange(*map(F.col, order)).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    parts = rows.repartitionByRange(*map(F.col, order)).sortWithinPartitions(*order)
     # monotonically_increasing_id counts within a partition in its lower 33 bits
-    numbered = parts.withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    sizes = {r["_p"]: r["count"] for r in parts.groupBy("_p").count().collect()}  # one row per partition
+    numbered = checkpointed(parts.withColumns({"_p": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    sizes = {r["_p"]: r["count"] for r in numbered.groupBy("_p").count().collect()}  # one row per partition
     offset, offsets = 0, []
     for p in sorted(sizes):
         offsets.append((p, offset))

@@ -44,6 +44,14 @@ def test_dense_ids(spark):
     assert rows.dense_ids(df.limit(0), ["v"], "id").count() == 0
 
 
+@pytest.mark.parametrize("payload", [0, 192])
+def test_dense_ids_of_a_million_rows(spark, payload):
+    n = 1_000_000
+    df = spark.range(n).select(F.md5(F.col("id").cast("string")).alias("v"), F.repeat(F.lit("x"), payload).alias("payload"))
+    out = rows.dense_ids(df, ["v"], "id").agg(F.count("*"), F.countDistinct("id"), F.min("id"), F.max("id"), F.sum(F.length("payload"))).first()
+    assert tuple(out) == (n, n, 1, n, n * payload)
+
+
 def test_units(spark):
     df = spark.createDataFrame([(1, None), (2, " "), (3, "One."), (4, "A b. C d! E?")], "k int, t string").select("k", T.two_sentence_units(T.sentences("t")).alias("u"))
     assert values(df, "k", "u") == [(1, [""]), (2, [""]), (3, ["One."]), (4, ["A b.", "A b. C d!", "C d! E?"])]
