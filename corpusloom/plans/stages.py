@@ -32,6 +32,13 @@ def prepared(spark: SparkSession) -> SparkSession:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder; the lineage ends here."""
-    prepared(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows, written to the shared checkpoint folder; the lineage ends here.
+
+    A checkpoint keeps what the optimizer has inferred about its rows.  In loops
+    that doubles with every round until planning takes longer than the work, so
+    the rows are taken up again as a plain table.
+    """
+    session = prepared(df.sparkSession)
+    out = df.checkpoint(eager=True)
+    plain = session._jsparkSession.internalCreateDataFrame(out._jdf.queryExecution().toRdd(), out._jdf.schema(), False)
+    return type(out)(plain, session)
