@@ -79,4 +79,12 @@ n as (select * from s where cos >= 0.96 qualify row_number() over (partition by
 select distinct case when (d, s) < (d2, s2) then d else d2 end as doc_id_a, case when (d, s) < (d2, s2) then s else s2 end as sentence_id_a,
   case when (d, s) < (d2, s2) then d2 else d end as doc_id_b, case when (d, s) < (d2, s2) then s2 else s end as sentence_id_b from n"""
 
-SQL = {"p1_found": P1, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p8_found": P8}
+# smallest keys spread along the links; each round reaches one link farther, and eight are more than these groups need
+_ROUNDS = ", ".join(f"l{k + 1} as (select d, s, min(c) as c from (select d, s, c from l{k} union all select g.d, g.s, l.c from g join l{k} l on (g.d2, g.s2) = (l.d, l.s)) group by 1, 2)" for k in range(8))
+P2 = f"""
+with x as (select doc_id, sentence_id::bigint as sentence_id, any_value(embedding::double[]) as e from ccf_sentence_embeddings where len(embedding) = 96 and doc_id is not null and sentence_id is not null and list_inner_product(embedding::double[], embedding::double[]) > 0 group by 1, 2),
+g as materialized (select a.doc_id as d, a.sentence_id as s, b.doc_id as d2, b.sentence_id as s2 from x a join x b on (a.doc_id, a.sentence_id) <> (b.doc_id, b.sentence_id) where {_COS} >= 0.6),
+l0 as (select doc_id as d, sentence_id as s, {{'a': doc_id, 'b': sentence_id}} as c from x), {_ROUNDS}
+select d as doc_id, s as sentence_id, c.a as cluster_doc_id, c.b as cluster_sentence_id from l8 qualify count(*) over (partition by c) >= 10"""
+
+SQL = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p8_found": P8}
