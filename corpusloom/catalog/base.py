@@ -24,10 +24,13 @@ def query(sql: str | None = None):
     return add
 
 
-def units(spark, d, *columns: str) -> DataFrame:
-    """Units, one row per (doc_id, sentence_id), as last loaded; only the keys, the load time and ``columns`` are read."""
-    t = table(spark, d, "ccf_processed_data")
-    return latest(t.select(*dict.fromkeys(["doc_id", "sentence_id", "loaded_at", *columns])), ["doc_id", "sentence_id"], "loaded_at")
+def units(spark, d, *columns: str, by: str | None = None) -> DataFrame:
+    """Units, one row per (doc_id, sentence_id), as last loaded; only the keys, the load time and ``columns`` are read.
+
+    ``by``: rows are partitioned by that key once, for the window here and a rollup by it after; rows without it are left out.
+    """
+    t = table(spark, d, "ccf_processed_data").select(*dict.fromkeys(["doc_id", "sentence_id", "loaded_at", *columns]))
+    return latest(t.filter(F.col(by).isNotNull()).repartition(by) if by else t, ["doc_id", "sentence_id"], "loaded_at")
 
 
 def articles(spark, d, *columns: str) -> DataFrame:

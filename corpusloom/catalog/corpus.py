@@ -5,7 +5,7 @@ from __future__ import annotations
 from corpusloom.catalog.base import ARTICLES, UNITS, F, articles, query, table, units
 from corpusloom.functions import text as T
 from corpusloom.operators import annotate, provenance, rollup, rows
-from corpusloom.plans.taxonomy import CODES, FRAMES, PARENT
+from corpusloom.plans.taxonomy import CODES, PARENT
 
 _SPLIT = r"string_split(regexp_replace(trim(coalesce(text, '')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
 _LEX = annotate.LEXICON
@@ -156,7 +156,7 @@ def canonical_projection(spark, d):
 @query("select record_id, text, cast([] as varchar[]) as label from just_1_sub_validation_en where split = 'blind'")
 def blinded_records(spark, d):
     """Labels wiped for blind coding."""
-    return table(spark, d, "just_1_sub_validation_en").filter("split = 'blind'").select("record_id", "text", F.array().cast("array<string>").alias("label"))
+    return table(spark, d, "just_1_sub_validation_en").filter("split = 'blind'").transform(lambda t: annotate.blinded(t.select("record_id", "text", F.array(F.col("label").cast("string")).alias("label"))))
 
 
 _DATE = "coalesce(try_strptime(date, '%Y-%m-%d'), try_strptime(date, '%Y/%m/%d'), try_strptime(date, '%m-%d-%Y'))::date"
@@ -197,16 +197,38 @@ def model_names(spark, d):
     return provenance.model_name_parts(t, "name")
 
 
-@query("select doc_id, md5(translate(text, '‘’“”ʼ', '''''\"\"''')) as folded_md5 from documents where text is not null")
+@query("select doc_id, md5(translate(nfc_normalize(text), '‘’“”ʼ', '''''\"\"''')) as folded_md5 from documents where text is not null")
 def folded_quotes(spark, d):
-    """Apostrophes and quotation marks folded."""
+    """Accents composed with their letter, apostrophes and quotation marks folded."""
     return table(spark, d, "documents").filter("text is not null").select("doc_id", F.md5(T.folded("text")).alias("folded_md5"))
 
 
-@query(r"""select doc_id, list_distinct(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')).list_sort() as spans from documents where text is not null""")
+@query(r"""select doc_id, list_sort(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+(?:[^\p{L}\p{N}_]{1,5}[A-Z][a-z]+)*'))) as spans from documents where text is not null""")
 def merged_spans(spark, d):
-    """Adjacent capitalised words as one span."""
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.array_sort(F.array_distinct(F.expr(r"regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+', 0)"))).alias("spans"))
+    """Capitalised words as spans, those less than six signs apart merged."""
+    t = table(spark, d, "documents").filter("text is not null").select("doc_id", "text", T.spans_of("text", "[A-Z][a-z]+").alias("offsets"))
+    return t.select("doc_id", F.array_sort(F.array_distinct(T.merged_spans("text", "offsets"))).alias("spans"))
+
+
+@query(r"select code, regexp_replace(code || s, '_?\d*_SUB$', '') || '_Detection' as parent from ccf_reliability_tiers, (values ('_1_SUB'), ('_12_SUB'), ('_SUB'), ('')) v(s)")
+def parent_names(spark, d):
+    """Name of the model that decides on a label's parent."""
+    t = table(spark, d, "ccf_reliability_tiers").select("code", F.explode(F.array(*[F.concat("code", F.lit(s)) for s in ("_1_SUB", "_12_SUB", "_SUB", "")])).alias("name"))
+    return t.select("code", provenance.parent_name("name").alias("parent"))
+
+
+@query("select doc_id, case when n_chars is null then '--' else format('{:,}', n_chars) end as n_chars, printf('%.1f%%', round(100.0 * n_chars / (select max(n_chars) from documents), 6)) as share, coalesce(title, '--') as title from documents")
+def formatted_report(spark, d):
+    """Thousands, per cent and -- for NULL, as reports show them."""
+    t = table(spark, d, "documents")
+    top = t.agg(F.max("n_chars").alias("top"))  # one row
+    return t.join(F.broadcast(top)).select("doc_id", T.thousands("n_chars").alias("n_chars"), T.percent(F.round(F.col("n_chars") / F.col("top"), 8)).alias("share"), T.dashed("title").alias("title"))
+
+
+@query(f"with {UNITS} select doc_id, sentence_id from units where economic_frame is null and sentences is not null order by doc_id, sentence_id limit 100")
+def unlabelled_head(spark, d):
+    """The first hundred units without a label (S09, O03): the limit is the feature."""
+    return annotate.unlabelled(units(spark, d, "economic_frame", "sentences"), "economic_frame", "sentences", limit=100, order=["doc_id", "sentence_id"]).select("doc_id", "sentence_id")
 
 
 @query(r"select doc_id, case when trim(coalesce(text, '')) = '' then 0 else len(regexp_split_to_array(trim(text), '\s+')) end::int as n_words, case when trim(coalesce(text, '')) = '' then 0 else len(regexp_split_to_array(trim(text), '\s+')) end > 512 as too_long from documents")
@@ -227,13 +249,17 @@ def exact_copies(spark, d):
     return table(spark, d, "documents").filter(rows.not_blank("text")).groupBy(F.md5("text").alias("m")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 
-@query(f"with {ARTICLES}, p as (select a.doc_id a, b.doc_id b, a.title x, b.title y from articles a join articles b on a.media = b.media and a.date = b.date and a.doc_id < b.doc_id where a.title is not null and b.title is not null) select a as doc_id_a, b as doc_id_b, round(1 - levenshtein(x, y) / greatest(length(x), length(y)), 6) as similarity from p where 1 - levenshtein(x, y) / greatest(length(x), length(y)) >= 0.95")
-def near_titles(spark, d):
-    """Titles at least 95 % alike on the same day in the same outlet (D01): an equi-join blocks the comparison."""
-    a = articles(spark, d, "title", "media", "date").filter("title is not null").select("doc_id", "media", "date", "title")
-    b = a.select(F.col("doc_id").alias("doc_id_b"), "media", "date", F.col("title").alias("y"))
-    s = 1 - F.levenshtein("title", "y") / F.greatest(F.length("title"), F.length("y"))
-    return a.join(b, ["media", "date"]).filter((F.col("doc_id") < F.col("doc_id_b")) & (s >= 0.95)).select(F.col("doc_id").alias("doc_id_a"), "doc_id_b", F.round(s, 6).alias("similarity"))
+_SHINGLES = r"list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))"
+
+
+@query(rf"""
+with m as (select min(doc_id) as doc_id, string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ') as w from documents where trim(coalesce(text, '')) <> '' group by md5(lower(text)), lower(text)),
+s as (select doc_id, unnest({_SHINGLES}) as x from m), n as (select doc_id, count(*) as n from s group by 1)
+select a.doc_id as doc_id_a, b.doc_id as doc_id_b, round(count(*) / (na.n + nb.n - count(*)), 6) as similarity from s a join s b on a.x = b.x and a.doc_id < b.doc_id join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id
+group by a.doc_id, b.doc_id, na.n, nb.n having count(*) >= 0.95 * (na.n + nb.n - count(*))""")
+def near_articles(spark, d):
+    """Different texts that share 95 % of their five-word shingles."""
+    return rows.near_texts(table(spark, d, "documents"), "doc_id", "text", 0.95, 5)
 
 
 @query(f"with {UNITS}, {_NER} select doc_id, sentence_id, count(*) as n from e group by 1, 2")
@@ -255,10 +281,10 @@ def gating_check(spark, d):
     return annotate.gating_violations(table(spark, d, "ccf_processed_data"))
 
 
-@query(f"with {UNITS} select doc_id, sentence_id, {', '.join(f'case when {p} = 1 then {c} end as {c}' for c, p in _GATES[:5])} from units")
+@query(f"with {UNITS} select doc_id, sentence_id, {', '.join(f'case when {p} = 1 then {c} end as {c}' for c, p in _GATES)} from units")
 def gated_labels(spark, d):
     """Children kept only under a positive parent."""
-    return annotate.gated(units(spark, d, *dict.fromkeys(x for g in _GATES[:5] for x in g))).select("doc_id", "sentence_id", *[c for c, _ in _GATES[:5]])
+    return annotate.gated(units(spark, d, *dict.fromkeys(x for g in _GATES for x in g))).select("doc_id", "sentence_id", *[c for c, _ in _GATES])
 
 
 @query(f"with {UNITS} select doc_id, sentence_id, coalesce(economic_frame, regexp_matches(coalesce(sentences, ''), '{_LEX['economic_frame']}')::int) as economic_frame, economic_frame is null as filled from units")
@@ -279,5 +305,3 @@ def hours_to_load(spark, d):
     """Hours between two timestamps, two decimals."""
     return articles(spark, d, "date").filter("date is not null and loaded_at is not null").select("doc_id", T.hours_between("date", "loaded_at").alias("hours"))
 
-
-__all__ = ["FRAMES"]

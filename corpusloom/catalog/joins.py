@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from corpusloom.catalog.base import ARTICLES, UNITS, F, articles, query, table, units
 from corpusloom.operators import joins, rows
-
-_MINUTE = "md5(concat_ws('-', doc_id, sentence_id, '{0}'))"
+from corpusloom.plans.taxonomy import CODES
 
 
 @query(f"with {UNITS}, g as (select doc_id, sentence_id, max(urgency) as gold from ccf_processed_data where urgency is not null group by 1, 2) select doc_id, sentence_id, gold, economic_frame as predicted from g join units using (doc_id, sentence_id)")
@@ -15,12 +14,12 @@ def gold_lookup_join(spark, d):
     return g.join(units(spark, d, "economic_frame").select("doc_id", "sentence_id", F.col("economic_frame").alias("predicted")), ["doc_id", "sentence_id"])
 
 
-@query(f"with {UNITS}, a as (select doc_id, sentence_id, economic_frame as first from units where sentence_id % 2 = 1), b as (select doc_id, sentence_id, event as second, md5(concat_ws('-', doc_id, sentence_id, 'order')) as k from units where doc_id % 2 = 0) select doc_id, sentence_id, first, second, row_number() over (order by k, doc_id, sentence_id) as seq from a join b using (doc_id, sentence_id)")
+@query(f"with {UNITS}, a as (select doc_id, sentence_id, economic_frame as first from units where economic_frame is not null), b as (select doc_id, sentence_id, event as second, md5(concat_ws('-', doc_id, sentence_id, 'order')) as k from units where event is not null) select doc_id, sentence_id, first, second, row_number() over (order by k, doc_id, sentence_id) as seq from a join b using (doc_id, sentence_id)")
 def coder_intersection(spark, d):
     """Units that both coders coded, in the second coder's order."""
     u = units(spark, d, "economic_frame", "event")
-    a = u.filter("sentence_id % 2 = 1").select("doc_id", "sentence_id", F.col("economic_frame").alias("first"))
-    b = u.filter("doc_id % 2 = 0").select("doc_id", "sentence_id", F.col("event").alias("second"), F.md5(F.concat_ws("-", "doc_id", "sentence_id", F.lit("order"))).alias("k"))
+    a = u.filter("economic_frame is not null").select("doc_id", "sentence_id", F.col("economic_frame").alias("first"))
+    b = u.filter("event is not null").select("doc_id", "sentence_id", F.col("event").alias("second"), F.md5(F.concat_ws("-", "doc_id", "sentence_id", F.lit("order"))).alias("k"))
     return rows.dense_ids(a.join(b, ["doc_id", "sentence_id"]), ["k", "doc_id", "sentence_id"], "seq").select("doc_id", "sentence_id", "first", "second", F.col("seq").cast("long"))
 
 
@@ -33,11 +32,11 @@ def outer_merge(spark, d):
     return by("just_1_sub_validation_en", "n_validation").join(by("just_1_sub_train_en", "n_train"), "source", "full")
 
 
-@query("select t.number, t.code, coalesce(n, 0) as n from ccf_reliability_tiers t left join (select 'economic_frame' as code, sum(economic_frame) as n from ccf_processed_data union all select 'event', sum(event) from ccf_processed_data) u on u.code = t.code")
+@query("select t.number, t.code, coalesce(n, 0) as n from ccf_reliability_tiers t left join (" + " union all ".join(f"select '{c}' as code, sum({c}) as n from ccf_processed_data" for c in CODES) + ") u on u.code = t.code")
 def spine_left_join(spark, d):
     """All 65 categories appear, absent ones with 0."""
-    sums = table(spark, d, "ccf_processed_data").agg(F.sum("economic_frame").alias("economic_frame"), F.sum("event").alias("event")).unpivot([], ["economic_frame", "event"], "code", "n")
-    return table(spark, d, "ccf_reliability_tiers").select("number", "code").join(F.broadcast(sums), "code", "left").select("number", "code", F.coalesce("n", F.lit(0)).alias("n"))
+    sums = table(spark, d, "ccf_processed_data").agg(*[F.sum(c).alias(c) for c in CODES]).unpivot([], CODES, "code", "n")  # one row per label
+    return table(spark, d, "ccf_reliability_tiers").select("number", "code").join(joins.bounded(sums), "code", "left").select("number", "code", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(r"""
@@ -76,11 +75,11 @@ def anti_texts(spark, d):
     return rows.excluded_texts(table(spark, d, "just_1_sub_train_en").select("record_id", "source", "text"), table(spark, d, "just_1_sub_validation_en").select("source", "text"), "source", "text").select("record_id")
 
 
-@query(f"with {UNITS} select doc_id, sentence_id, coalesce(case when sentence_id % 3 = 0 then 1 end, economic_frame) as economic_frame from units")
+@query(f"with {UNITS} select doc_id, sentence_id, coalesce(event, economic_frame) as economic_frame from units")
 def update_from(spark, d):
     """Predictions merged into the wide table."""
-    u = units(spark, d, "economic_frame")
-    new = u.filter("sentence_id % 3 = 0").select("doc_id", "sentence_id", F.lit(1).alias("economic_frame"))
+    u = units(spark, d, "economic_frame", "event")
+    new = u.select("doc_id", "sentence_id", F.col("event").alias("economic_frame"))
     return rows.merged(u.select("doc_id", "sentence_id", "economic_frame"), new, ["doc_id", "sentence_id"], "economic_frame")
 
 
@@ -99,17 +98,36 @@ def row_union(spark, d):
     return table(spark, d, "just_1_sub_validation_en").select("record_id", "split", "label").unionByName(table(spark, d, "just_1_sub_train_en").select("label", "split", "record_id"))
 
 
-_SETS = "a as (select doc_id, sentence_id, list_filter([case when economic_frame = 1 then 'economic_frame' end, case when event = 1 then 'event' end, case when messenger = 1 then 'messenger' end], lambda x: x is not null) as s, list_filter([case when economic_frame = 1 and eco_cost = 1 then 'economic_frame' end, case when event = 1 then 'event' end, case when urgency = 1 then 'urgency' end], lambda x: x is not null) as t from units)"
+_FLIP = "substr(md5(concat_ws('-', doc_id, sentence_id, '{0}')), 1, 1) = '0'"
+_SETS = "a as (select doc_id, sentence_id, list_filter([" + ", ".join(f"case when {c} = 1 then '{c}' end" for c in CODES) + "], lambda x: x is not null) as s, list_filter([" + ", ".join(f"case when ({c} = 1) <> ({_FLIP.format(c)}) then '{c}' end" for c in CODES) + "], lambda x: x is not null) as t from units)"
 
 
 @query(f"with {UNITS}, {_SETS} select doc_id, sentence_id, list_sort(list_intersect(s, t)) as consensus, list_sort(list_distinct(list_concat(s, t))) as either from a")
 def consensus_gold(spark, d):
-    """Labels of both coders: intersection and union."""
-    pick = lambda **k: F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in k.items()]), lambda x: x.isNotNull())
-    one = F.col("economic_frame") == 1
-    s = pick(economic_frame=one, event=F.col("event") == 1, messenger=F.col("messenger") == 1)
-    t = pick(economic_frame=one & (F.col("eco_cost") == 1), event=F.col("event") == 1, urgency=F.col("urgency") == 1)
-    return units(spark, d, "economic_frame", "event", "messenger", "eco_cost", "urgency").select("doc_id", "sentence_id", F.array_sort(joins.gold(s, t, "consensus")).alias("consensus"), F.array_sort(joins.gold(s, t, "union")).alias("either"))
+    """Labels of both coders: intersection and union (U03, U04, M12); the second coder turns one in sixteen over."""
+    flip = lambda c: F.substring(F.md5(F.concat_ws("-", "doc_id", "sentence_id", F.lit(c))), 1, 1) == "0"
+    pick = lambda has: F.filter(F.array(*[F.when(has(c), F.lit(c)) for c in CODES]), lambda x: x.isNotNull())
+    s, t = pick(lambda c: F.col(c) == 1), pick(lambda c: (F.col(c) == 1) != flip(c))
+    u = units(spark, d, *CODES).select("doc_id", "sentence_id", s.alias("s"), t.alias("t"))
+    return u.select("doc_id", "sentence_id", F.array_sort(joins.gold(F.col("s"), F.col("t"), "consensus")).alias("consensus"), F.array_sort(joins.gold(F.col("s"), F.col("t"), "union")).alias("either"))
+
+
+@query("select t.number, t.code, u.n from (" + " union all ".join(f"select '{c}' as code, sum({c}) as n from ccf_processed_data" for c in CODES) + ") u join ccf_reliability_tiers t on replace(t.category, ' ', '_') = replace((select category from ccf_reliability_tiers x where x.code = u.code), ' ', '_')")
+def normalized_merge(spark, d):
+    """Counts under readable names with underscores, merged with the categories after normalisation."""
+    t = table(spark, d, "ccf_reliability_tiers")
+    sums = table(spark, d, "ccf_processed_data").agg(*[F.sum(c).alias(c) for c in CODES]).unpivot([], CODES, "code", "n")
+    named = sums.join(t.select("code", F.replace("category", F.lit(" "), F.lit("_")).alias("raw")), "code").select("raw", "n")
+    number = joins.normalized(named, "raw", t.select("number", "code", "category"), strict=True).select("raw", "number").distinct()
+    return named.join(joins.bounded(number), "raw").join(t.select("number", "code"), "number").select("number", "code", "n")
+
+
+@query("select raw, coalesce(category, raw) as readable from (select code as raw from ccf_reliability_tiers union all select 'Nothing of that name') left join ccf_reliability_tiers on code = raw")
+def readable_labels(spark, d):
+    """Readable names of labels; a label without one keeps its own."""
+    t = table(spark, d, "ccf_reliability_tiers")
+    names = t.select(F.col("code").alias("raw")).union(spark.createDataFrame([("Nothing of that name",)], "raw string"))
+    return joins.readable(names, "raw", t.select("code", "category"))
 
 
 @query("select p.doc_id from (select distinct doc_id from ccf_full_data) p where p.doc_id not in (select doc_id from ccf_processed_data where doc_id is not null)")

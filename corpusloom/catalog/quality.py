@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from corpusloom.catalog.base import UNITS, F, query, table, units
-from corpusloom.operators import agreement, provenance, rows
-from corpusloom.plans.taxonomy import CODES, NUMBER, PRIMARY
+from corpusloom.functions import metrics
+from corpusloom.functions import text as T
+from corpusloom.functions.metrics import evaluation, fallback_alpha
+from corpusloom.operators import agreement, joins, provenance, rows
+from corpusloom.plans.taxonomy import CODES
 
 # The second coder: the first one's labels, one in sixteen turned over, by digest of the key.
 _FLIP = "substr(md5(concat_ws('-', doc_id, sentence_id, code)), 1, 1) = '0'"
-_LONG = "lab as (" + " union all ".join(f"select doc_id, sentence_id, language, date, '{c}' as code, {c} as first from units where {c} is not null" for c in PRIMARY) + ")"
+_LONG = "lab as (" + " union all ".join(f"select doc_id, sentence_id, language, date, '{c}' as code, {c} as first from units where {c} is not null" for c in CODES) + ")"
 _PAIRS = f"{UNITS}, {_LONG}, pairs as (select *, case when {_FLIP} then 1 - first else first end as second from lab)"
 _CELLS = "count(*) filter (where first = 1 and second = 1)::double a, count(*) filter (where first = 1 and second = 0)::double b, count(*) filter (where first = 0 and second = 1)::double c, count(*) filter (where first = 0 and second = 0)::double d"
 _STATS = """round((a + d) / n, 6) as percent_agreement,
@@ -22,8 +25,8 @@ _TERMS = "select *, ((a + b) * (a + c) + (c + d) * (b + d)) / (n * n) as pe, p *
 
 
 def pairs(spark, d):
-    """(doc_id, sentence_id, language, date, code, first, second) for the primary labels."""
-    long = rows.long_labels(units(spark, d, "language", "date", *PRIMARY), ["doc_id", "sentence_id", "language", "date"], PRIMARY, "first")
+    """(doc_id, sentence_id, language, date, code, first, second) for all labels."""
+    long = rows.long_labels(units(spark, d, "language", "date", *CODES), ["doc_id", "sentence_id", "language", "date"], CODES, "first")
     flip = F.substring(F.md5(F.concat_ws("-", "doc_id", "sentence_id", "code")), 1, 1) == "0"
     return long.withColumn("second", F.when(flip, 1 - F.col("first")).otherwise(F.col("first")))
 
@@ -78,22 +81,54 @@ _DECADE = r"case when regexp_matches(date, '^\d{4}([-/]|$)') then substr(date, 1
 @query(f"with {_PAIRS}, cells as (select code, language, {_DECADE} as decade, {_CELLS} from pairs where {_DECADE} is not null group by 1, 2, 3) select code, language, decade, {_EVAL} from ({_F}) where a + b > 0")
 def drift_by_decade(spark, d):
     """Evaluation by decade, unknown dates left out, only where there are positives."""
-    from corpusloom.functions.metrics import cells, evaluation
-    from corpusloom.functions.text import period, year_of
+    p = pairs(spark, d).withColumn("decade", T.period(T.year_of("date"), "decade")).filter("decade <> 'Unknown'")
+    return agreement.contingency(p, ["code", "language", "decade"]).filter("a + b > 0").select("code", "language", "decade", *evaluation().values())
 
-    p = pairs(spark, d).withColumn("decade", period(year_of("date"), "decade")).filter("decade <> 'Unknown'")
-    return p.groupBy("code", "language", "decade").agg(*cells("first", "second")).filter("a + b > 0").select("code", "language", "decade", *evaluation().values())
+
+@query(f"with {_PAIRS}, cells as (select coalesce(decade, 'ALL') as decade, coalesce(language, 'ALL') as language, {_CELLS} from (select *, {_DECADE} as decade from pairs where {_DECADE} is not null) group by grouping sets ((decade, language), (decade), (language), ())) select decade, language, n::bigint as n, round((f1 + f0) / 2, 6) as f1_macro from ({_F})")
+def pooled_f1_by_decade(spark, d):
+    """Macro F1 of one pooled matrix for each decade and language, and over all of either."""
+    p = pairs(spark, d).withColumn("decade", T.period(T.year_of("date"), "decade")).filter("decade <> 'Unknown' and second is not null")
+    cell = p.groupingSets([["decade", "language"], ["decade"], ["language"], []], "decade", "language").agg(*metrics.cells("first", "second"), F.grouping("language").alias("g"))
+    language = F.when(F.col("g") == 1, "ALL").otherwise(F.coalesce("language", F.lit("ALL")))
+    return cell.filter("a + b + c + d > 0").select(F.coalesce("decade", F.lit("ALL")).alias("decade"), language.alias("language"), F.expr("a + b + c + d").alias("n"), evaluation()["f1_macro"])
+
+
+@query(f"with {_PAIRS}, cells as (select {_CELLS} from pairs) select round((f1 + f0) / 2, 6) as f1_macro, abs((f1 + f0) / 2 - 0.866) <= 0.005 as as_published from ({_F})")
+def published_f1_check(spark, d):
+    """Whether the pooled macro F1 over everything lies within 0.005 of the published 0.866 (M16); the caller decides what to do."""
+    c = agreement.contingency(pairs(spark, d), [])
+    return agreement.within(c.select(evaluation(rounded=False)["f1_macro"]), "f1_macro", 0.866, 0.005, "as_published").withColumn("f1_macro", F.round("f1_macro", 6))
+
+
+@query(f"with {_PAIRS}, cells as (select code, {_CELLS} from pairs group by 1) select code, n::bigint as n, (a + b)::bigint as n_first, (a + c)::bigint as n_second, round((a + b) / n, 6) as prevalence_1, round((a + c) / n, 6) as prevalence_2 from ({_F})")
+def coder_counts(spark, d):
+    """Positive labels of each coder, and their shares."""
+    return agreement.coder_counts(pairs(spark, d))
+
+
+@query(f"with {_PAIRS}, cells as (select code, {_CELLS} from pairs group by 1) select code, round(case when n1 > 0 and n0 > 0 then 1 - (b + c) * 2 * n / (n0 * n1) else 1.0 end, 6) as alpha from (select *, a + b + c + d as n, 2 * a + b + c as n1, 2 * d + b + c as n0 from cells) where n > 0")
+def uncorrected_alpha(spark, d):
+    """Nominal alpha without the correction for small samples."""
+    return agreement.contingency(pairs(spark, d), ["code"]).select("code", fallback_alpha())
 
 
 @query(f"with {_PAIRS}, cells as (select language, {_CELLS} from pairs group by 1) select language, n::bigint as n, round((f1 + f0) / 2, 6) as f1_macro from ({_F})")
 def pooled_macro_f1(spark, d):
     """Macro F1 on one pooled matrix."""
     c = agreement.contingency(pairs(spark, d), ["language"])
-    from corpusloom.functions.metrics import evaluation
-
     return c.select("language", F.expr("a + b + c + d").alias("n"), evaluation()["f1_macro"])
 
 
+@query(f"with {_SEQ}, q as (select *, unnest(['full', case when seq <= 600 then 'before' else 'after' end]) as part from pairs join s using (doc_id, sentence_id)), cells as (select code, part, {_CELLS} from q group by 1, 2), r as (select code, part, {_STATS} from ({_TERMS})) select t.number, t.code, " + ", ".join(f"max(case when part = '{x}' then {m} end) as {m}_{x}" for x in ("full", "before", "after") for m in ("cohens_kappa", "s_coefficient", "krippendorff_alpha")) + " from ccf_reliability_tiers t left join r using (code) group by 1, 2")
+def reliability_by_phase(spark, d):
+    """Agreement of each category over all units, the first 600 and the rest (M20); a label without a category aborts."""
+    p = pairs(spark, d)
+    order = rows.dense_ids(p.select("doc_id", "sentence_id").distinct(), ["doc_id", "sentence_id"], "seq")
+    cells = agreement.phase_cells(p.join(order, ["doc_id", "sentence_id"]), "seq", 600)
+    return agreement.per_category(cells, table(spark, d, "ccf_reliability_tiers"), ["cohens_kappa", "s_coefficient", "krippendorff_alpha"])
+
+
 _TIER = "case when f1_macro_all is null then 'no_data' when f1_macro_all < 0.60 then 'C' when cohens_kappa_blind_phase < 0.40 then 'C' when f1_macro_all >= 0.80 and (cohens_kappa_blind_phase is null or cohens_kappa_blind_phase >= 0.60) then 'A' else 'B' end"
 _OUT = ["canada", "urgency"]
 
@@ -114,7 +149,7 @@ def tier_counts(spark, d):
 @query(f"with {_PAIRS}, cells as (select code, {_CELLS} from pairs group by 1), r as (select code, n::bigint as n, {_STATS} from ({_TERMS})) select t.number, t.code, r.n, r.cohens_kappa, t.tier_overall from ccf_reliability_tiers t left join r using (code)")
 def per_category_reliability(spark, d):
     """Category spine with measured agreement, absent ones kept."""
-    return table(spark, d, "ccf_reliability_tiers").select("number", "code", "tier_overall").join(F.broadcast(agreement.per_label(pairs(spark, d)).select("code", "n", "cohens_kappa")), "code", "left").select("number", "code", "n", "cohens_kappa", "tier_overall")
+    return table(spark, d, "ccf_reliability_tiers").select("number", "code", "tier_overall").join(joins.bounded(agreement.per_label(pairs(spark, d)).select("code", "n", "cohens_kappa")), "code", "left").select("number", "code", "n", "cohens_kappa", "tier_overall")
 
 
 @query("select language, round(avg(f1), 6) as mean_f1, count(*) as n from (select 'ALL' as language, f1_macro_all as f1 from ccf_reliability_tiers union all select 'TOP', f1_macro_all from ccf_reliability_tiers where tier_overall = 'A') where f1 is not null group by 1")
@@ -149,12 +184,29 @@ def trend_slope(spark, d):
     return provenance.trend(table(spark, d, "events"), "event_id", "value", ["user_id"])
 
 
-@query("select event_id, round(0.98 * value + 0.02 * ln(1 + value), 6) as score, case when exp(value / 100) / (1 + exp(value / 100)) > 0.55 then 1 else 0 end as label from events where value is not null and value >= 0")
-def combined_scores(spark, d):
-    """Weighted score, softmax over two classes and its argmax."""
-    e = table(spark, d, "events").filter("value is not null and value >= 0")
-    p = F.exp(F.col("value") / 100) / (1 + F.exp(F.col("value") / 100))
-    return e.select("event_id", F.round(0.98 * F.col("value") + 0.02 * F.log(1 + F.col("value")), 6).alias("score"), F.when(p > 0.55, 1).otherwise(0).alias("label"))
+@query("select event_id, round(p, 6) as p_1, case when p > 0.5 then 1 else 0 end as label from (select event_id, 1 / (1 + exp(event_id % 7 - value / 10)) as p from events where value is not null)")
+def class_scores(spark, d):
+    """Softmax over the scores of two classes, and the class with the highest one, the first of equal ones."""
+    e = table(spark, d, "events").filter("value is not null").withColumn("p", metrics.softmax(F.array((F.col("event_id") % 7).cast("double"), F.col("value") / 10)))
+    return e.select("event_id", F.round(F.get("p", 1), 6).alias("p_1"), metrics.argmax("p").alias("label"))
+
+
+@query(f"with {_PAIRS}, cells as (select code, {_CELLS} from pairs group by 1) select code, round(0.98 * f1 + 0.02 * (f1 + f0) / 2, 6) as combined from ({_F})")
+def combined_f1(spark, d):
+    """Score that a training epoch is chosen by: 0.98 of the positive class's F1 and 0.02 of the macro F1 (F16)."""
+    e = evaluation(rounded=False)
+    return agreement.contingency(pairs(spark, d), ["code"]).select("code", F.round(metrics.combined(e["f1_1"], e["f1_macro"]), 6).alias("combined"))
+
+
+@query("select user_id, event_type as phase, max(event_id) as last, max_by(value, event_id) as last_value, round(avg(value), 6) as mean from events where event_type is not null group by 1, 2")
+def phase_ends(spark, d):
+    """Largest order key, its row and the mean of each phase."""
+    e = table(spark, d, "events").filter("event_type is not null")
+    return e.groupBy("user_id", F.col("event_type").alias("phase")).agg(F.max("event_id").alias("last"), F.max_by("value", "event_id").alias("last_value"), F.round(F.avg("value"), 6).alias("mean"))
+
 
+@query("select user_id, count(*) as n, min(ts) as first, max(ts) as last, round(epoch(max(ts) - min(ts)) / 3600, 2) as hours from events where ts is not null group by 1")
+def campaign_span(spark, d):
+    """From the first to the last entry of each log."""
+    return provenance.span(table(spark, d, "events"), "user_id", "ts")
 
-__all__ = ["CODES", "NUMBER"]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 
 from corpusloom.catalog.base import ARTICLES, UNITS, F, articles, query, table, units
-from corpusloom.functions import text as T
 from corpusloom.operators import rollup, rows
 from corpusloom.plans.taxonomy import CODES, FAMILIES, FRAMES
 
@@ -19,7 +18,7 @@ AGGREGATES = f"{UNITS}, {_SHARES}, aggregates as (select *, {_TOP} as top_frame,
 
 
 def aggregates(spark, d):
-    return rollup.article_aggregates(units(spark, d, "language", *CODES))
+    return rollup.article_aggregates(units(spark, d, "language", *CODES, by="doc_id"))
 
 
 @query(f"with {UNITS} select language, count(*) as n from units group by 1")
@@ -65,11 +64,11 @@ def top_frame_share(spark, d):
     return by.select("top_frame", "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 6).alias("share"))  # a window over nine rows
 
 
-@query("select code, language, n, round(n / t, 6) as share from (select code, language, sum(v) as n, count(*) as t from (" + " union all ".join(f"select '{c}' as code, coalesce(language, 'EN') as language, {c} as v from ccf_processed_data where {c} is not null" for c in FRAMES) + ") group by 1, 2)")
+@query("select code, language, n, round(n / t, 6) as share from (select code, language, sum(v) as n, count(*) as t from (" + " union all ".join(f"select '{c}' as code, coalesce(language, 'EN') as language, {c} as v from ccf_processed_data where {c} is not null" for c in CODES) + ") group by 1, 2)")
 def label_usage(spark, d):
-    """Use of the frames by language (A07); a missing language counts as EN."""
+    """Use of the labels by language (A07); a missing language counts as EN."""
     u = table(spark, d, "ccf_processed_data").withColumn("language", F.coalesce("language", F.lit("EN")))
-    by = rows.long_labels(u, ["language"], FRAMES).groupBy("code", "language").agg(F.sum("value").alias("n"), F.count("*").alias("t"))
+    by = rows.long_labels(u, ["language"], CODES).groupBy("code", "language").agg(F.sum("value").alias("n"), F.count("*").alias("t"))
     return by.select("code", "language", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"))
 
 
@@ -113,10 +112,14 @@ def tier_join(spark, d):
     return a.groupBy("top_frame", "tier").agg(F.count("*").alias("n_articles"), F.round(F.avg("top_frame_prop"), 6).alias("mean_share"))
 
 
-@query(f"with {AGGREGATES} select doc_id, {', '.join(f'round(prop_{f}, 6) as prop_{f}' for f in ('tone_positive', 'urgency'))} from aggregates")
+@query(f"with {AGGREGATES} select a.doc_id, t.code, round(case t.code {' '.join(f"when '{c}' then prop_{c}" for c in CODES)} end, 6) as share from aggregates a join ccf_reliability_tiers t on t.tier_overall = 'A'")
 def tier_column_subset(spark, d):
-    """Columns chosen by a list of codes on the driver (P15): two of 65 shares, the rest is pruned."""
-    return aggregates(spark, d).select("doc_id", *[F.round(f"prop_{c}", 6).alias(f"prop_{c}") for c in ("tone_positive", "urgency")])
+    """Shares of the labels of tier A (P15): the codes come from the tier table, the other columns are pruned."""
+    codes = [r["code"] for r in table(spark, d, "ccf_reliability_tiers").filter("tier_overall = 'A'").select("code").distinct().collect() if r["code"] in CODES]  # at most 65
+    if not codes:
+        return aggregates(spark, d).select("doc_id", F.lit("").alias("code"), F.lit(0.0).alias("share")).limit(0)
+    chosen = aggregates(spark, d).select("doc_id", *[F.round(f"prop_{c}", 6).alias(c) for c in codes])
+    return chosen.unpivot(["doc_id"], codes, "code", "share")
 
 
 _NER = """
@@ -146,25 +149,27 @@ def distinct_checks(spark, d):
         F.countDistinct("doc_id").alias("n_articles"), F.countDistinct("doc_id", "sentence_id").alias("n_units"), F.count("*").alias("n"), F.countDistinct("media").alias("n_outlets"), F.count_if(F.col("sentences").isNull()).alias("n_without_text"))
 
 
-@query(f"with {AGGREGATES} select count(*) as n, count(*) filter (where top_frame is null) as without_frame, count(*) filter (where prop_economic_frame between 0 and 1) as in_range from aggregates")
+@query(f"with {AGGREGATES} select count(*) as n, count(*) filter (where top_frame is null) as without_frame, count(*) filter (where {' and '.join(f'prop_{c} between 0 and 1' for c in CODES)}) as in_range, count(*) filter (where top_frame_prop = greatest({', '.join(_P)}) and (top_frame is null or top_frame_prop > 0)) as largest from aggregates")
 def integrity_checks(spark, d):
-    """Shares between 0 and 1, main frame is the largest share (published checks)."""
-    return aggregates(spark, d).agg(F.count("*").alias("n"), F.count_if(F.col("top_frame").isNull()).alias("without_frame"), F.count_if(F.col("prop_economic_frame").between(0, 1)).alias("in_range"))
+    """All shares between 0 and 1, main frame is the largest share (published checks)."""
+    inside = F.lit(True)
+    for c in CODES:
+        inside &= F.col(f"prop_{c}").between(0, 1)
+    largest = (F.col("top_frame_prop") == F.greatest(*_P)) & (F.col("top_frame").isNull() | (F.col("top_frame_prop") > 0))
+    return aggregates(spark, d).agg(F.count("*").alias("n"), F.count_if(F.col("top_frame").isNull()).alias("without_frame"), F.count_if(inside).alias("in_range"), F.count_if(largest).alias("largest"))
 
 
-@query("""
-with l as (select language, code, avg(v) as m from (select language, unnest(['economic_frame', 'event', 'messenger']) as code, unnest([economic_frame, event, messenger]) as v from ccf_processed_data) where v is not null group by 1, 2)
-select code, max(case when language = 'EN' then round(m, 6) end) as EN, max(case when language = 'FR' then round(m, 6) end) as FR from l group by 1""")
+@query("with l as (" + " union all ".join(f"select '{c}' as code, language, avg({c}) as m from ccf_processed_data where {c} is not null group by 2" for c in CODES) + ") select code, max(case when language = 'EN' then round(m, 6) end) as EN, max(case when language = 'FR' then round(m, 6) end) as FR from l group by 1")
 def pivot_label_lang(spark, d):
-    """Category by language, side by side (A24): the pivot's values are given."""
-    l = rows.long_labels(table(spark, d, "ccf_processed_data"), ["language"], ["economic_frame", "event", "messenger"])
-    return l.groupBy("code").pivot("language", ["EN", "FR"]).agg(F.round(F.avg("value"), 6))
+    """Category by language, side by side (A24): the pivot's values are given, and a pair that comes twice stops the job."""
+    l = rows.long_labels(table(spark, d, "ccf_processed_data"), ["language"]).groupBy("code", "language").agg(F.round(F.avg("value"), 6).alias("m"))
+    return rollup.pivoted(l, "code", "language", ["EN", "FR"], "m")
 
 
-@query(f"with {UNITS} select coalesce(language, 'ALL') as language, coalesce(code, 'ALL') as code, n from (select language, code, sum(v) as n from (select language, unnest(['economic_frame', 'event']) as code, unnest([economic_frame, event]) as v from units) where v is not null group by grouping sets ((code, language), (code), ())) order by code = 'ALL', code, case language when 'EN' then 0 when 'FR' then 1 else 2 end")
+@query(f"with {UNITS}, s as (" + " union all ".join(f"select '{c}' as code, language, sum({c}) as n from units where {c} is not null group by 2" for c in CODES) + ") select coalesce(language, 'ALL') as language, coalesce(code, 'ALL') as code, sum(n) as n from s group by grouping sets ((code, language), (code), ())")
 def custom_order(spark, d):
     """Totals by grouping sets, in the order label, EN, FR, ALL."""
-    l = rows.long_labels(units(spark, d, "language", "economic_frame", "event"), ["language"], ["economic_frame", "event"])
+    l = rows.long_labels(units(spark, d, "language", *CODES), ["language"])
     g = l.groupingSets([["code", "language"], ["code"], []], "code", "language").agg(F.sum("value").alias("n"))
     out = g.select(F.coalesce("language", F.lit("ALL")).alias("language"), F.coalesce("code", F.lit("ALL")).alias("code"), "n")
     return out.orderBy(F.col("code") == "ALL", "code", F.when(F.col("language") == "EN", 0).when(F.col("language") == "FR", 1).otherwise(2))
@@ -181,5 +186,3 @@ def last_unit(spark, d):
     """The row with the largest order key per group."""
     return units(spark, d, "sentences").filter("doc_id is not null").groupBy("doc_id").agg(F.max("sentence_id").alias("last_sentence"), F.max_by(F.md5(F.coalesce("sentences", F.lit(""))), "sentence_id").alias("last_md5"))
 
-
-__all__ = ["T"]

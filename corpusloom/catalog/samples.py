@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from corpusloom.catalog.base import UNITS, F, query, table, units
 from corpusloom.operators import sampling
-from corpusloom.plans.taxonomy import PRIMARY
+from corpusloom.plans.taxonomy import CODES
 
 _KEY = "md5(concat_ws('|', record_id, '42'))"
 _REC = "r as (select record_id, split, label from just_1_sub_validation_en where label is not null union all select record_id, split, label from just_1_sub_train_en where label is not null)"
@@ -21,13 +21,13 @@ def split_train_val(spark, d):
     return sampling.split_by_class(r, ["split"], "label", "record_id")
 
 
-_W = " + ".join(f"case when {c} = 1 then 1.0::double / sqrt(greatest((select sum({c}) from units), 1)) else 0.0::double end" for c in PRIMARY)
+_W = " + ".join(f"case when {c} = 1 then 1.0::double / sqrt(greatest((select sum({c}) from units), 1)) else 0.0::double end" for c in CODES)
 
 
 @query(f"with {UNITS}, w as (select doc_id, sentence_id, {_W} as w from units) select doc_id, sentence_id, round(case when w > 0 then w else (select min(w) from w where w > 0) end, 9) as weight from w")
 def row_weights(spark, d):
-    """Root-inverse weights over the primary labels."""
-    return sampling.row_weights(units(spark, d, *PRIMARY).select("doc_id", "sentence_id", *PRIMARY), PRIMARY).select("doc_id", "sentence_id", F.round("weight", 9).alias("weight"))
+    """Root-inverse weights over all labels."""
+    return sampling.row_weights(units(spark, d, *CODES).select("doc_id", "sentence_id", *CODES), CODES).select("doc_id", "sentence_id", F.round("weight", 9).alias("weight"))
 
 
 _U = "((('0x' || substr(md5(concat_ws('|', doc_id, sentence_id, '42')), 1, 13))::bigint::double + 0.5) / 4503599627370496)"
@@ -36,7 +36,7 @@ _U = "((('0x' || substr(md5(concat_ws('|', doc_id, sentence_id, '42')), 1, 13)):
 @query(f"with {UNITS}, w as (select doc_id, sentence_id, {_W} as w from units), x as (select doc_id, sentence_id, case when w > 0 then w else (select min(w) from w where w > 0) end as w from w) select doc_id, sentence_id from x order by ln({_U}) / w desc, doc_id, sentence_id limit 1000")
 def weighted_sample(spark, d):
     """A thousand units without replacement, rare labels preferred."""
-    w = sampling.row_weights(units(spark, d, *PRIMARY).select("doc_id", "sentence_id", *PRIMARY), PRIMARY)
+    w = sampling.row_weights(units(spark, d, *CODES).select("doc_id", "sentence_id", *CODES), CODES)
     return sampling.weighted_sample(w, 1000, "weight", "doc_id", "sentence_id").select("doc_id", "sentence_id")
 
 
@@ -49,13 +49,13 @@ def first_round_sample(spark, d):
 @query()
 def sample_caps(spark, d):
     """Sample with a floor and a ceiling per label (X04-X08); the adjusting loop isn't SQL."""
-    u = units(spark, d, "language", *PRIMARY).select("doc_id", "sentence_id", "language", *PRIMARY)
-    counts = {r["language"]: r["count"] for r in u.filter("language is not null").groupBy("language").count().collect()}
+    u = units(spark, d, "language", *CODES).select("doc_id", "sentence_id", F.coalesce("language", F.lit("EN")).alias("language"), *CODES).filter("doc_id is not null and sentence_id is not null")
+    counts = {r["language"]: r["count"] for r in u.groupBy("language").count().collect()}  # as many rows as languages
     out = None
-    for language, quota in sampling.language_quotas(counts, 600).items():
-        part = sampling.constrained_sample(u.filter(F.col("language") == language), ["doc_id", "sentence_id"], PRIMARY, quota, floor=20, ceiling=0.5).withColumn("language", F.lit(language))
+    for language, quota in sampling.language_quotas(counts, sampling.upscaled(600, len(CODES), 40)).items():
+        part = sampling.constrained_sample(u.filter(F.col("language") == language), ["doc_id", "sentence_id"], CODES, quota, floor=20, ceiling=0.5).withColumn("language", F.lit(language))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out if out is not None else u.limit(0)
 
 
 @query("""

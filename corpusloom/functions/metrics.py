@@ -63,11 +63,34 @@ def pooled_alpha() -> Column:
     return F.when((n1 > 0) & (n0 > 0), 1 - (b + c) * (2 * n - 1) / (n0 * n1))
 
 
+def fallback_alpha() -> Column:
+    """Nominal two-coder alpha without the small-sample correction; 1 where only one value occurs."""
+    a, b, c, d = map(_d, "abcd")
+    n1, n0, n = 2 * a + b + c, 2 * d + b + c, a + b + c + d
+    return F.round(F.when((n1 > 0) & (n0 > 0), 1 - (b + c) * 2 * n / (n0 * n1)).when(n > 0, 1.0), 6).alias("alpha")
+
+
+def combined(f1_positive: Column, f1_macro: Column, weight: float = 0.98) -> Column:
+    return weight * f1_positive + (1 - weight) * f1_macro
+
+
+def softmax(scores: Column) -> Column:
+    """Shares of an array of class scores; the largest score is taken off first, so none overflows.  NULL stays NULL."""
+    top = F.array_max(scores)
+    powers = F.transform(scores, lambda x: F.exp(x - top))
+    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda s, y: s + y))
+
+
+def argmax(scores: str) -> Column:
+    """Number from 0 of the largest score, the first of equal ones; NULL for NULL and empty arrays."""
+    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+
+
 def ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(0.0)
 
 
-def evaluation() -> dict[str, Column]:
+def evaluation(rounded: bool = True) -> dict[str, Column]:
     """Precision, recall, F1 of both classes and micro, macro, weighted F1; first = gold, second = prediction."""
     a, b, c, d = map(_d, "abcd")
     n = a + b + c + d
@@ -77,4 +100,4 @@ def evaluation() -> dict[str, Column]:
         "precision_1": p1, "recall_1": r1, "f1_1": f1, "precision_0": p0, "recall_0": r0, "f1_0": f0,
         "f1_macro": (f1 + f0) / 2, "f1_micro": ratio(a + d, n), "f1_weighted": ratio((a + b) * f1 + (c + d) * f0, n),
     }
-    return {k: F.round(v, 6).alias(k) for k, v in out.items()} | {"support_1": (F.col("a") + F.col("b")).alias("support_1"), "support_0": (F.col("c") + F.col("d")).alias("support_0")}
+    return {k: (F.round(v, 6) if rounded else v).alias(k) for k, v in out.items()} | {"support_1": (F.col("a") + F.col("b")).alias("support_1"), "support_0": (F.col("c") + F.col("d")).alias("support_0")}

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 BREAK = "\u0001"
 
@@ -20,9 +24,64 @@ def two_sentence_units(parts: str | Column) -> Column:
     return F.transform(c, lambda s, i: F.when(i == 0, s).otherwise(F.concat_ws(" ", F.get(c, i - 1), s)))
 
 
+@F.pandas_udf(StringType())
+def composed(text: pd.Series) -> pd.Series:
+    """Accents composed with their letter (NFC), in Arrow batches, as Spark has no expression for it."""
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+
 def folded(text: str | Column) -> Column:
-    """Typographic apostrophes and quotation marks as plain ones."""
-    return F.translate(text, "‘’“”ʼ", "''\"\"'")
+    """Composed text with typographic apostrophes and quotation marks as plain ones; NULL stays NULL."""
+    return F.translate(composed(text), "‘’“”ʼ", "''\"\"'")
+
+
+def spans_of(text: str, pattern: str) -> Column:
+    """Array of (start, stop), from 0 and exclusive, of the matches of a pattern that can't match nothing."""
+    # the text behind each match begins where the match ends, so the parts between matches give the offsets
+    gaps, found = F.split(text, pattern, -1), F.expr(f"regexp_extract_all({text}, '{pattern}', 0)")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + F.length(x["gap"])
+        stop = begin + F.length(x["hit"])
+        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), stop.alias("stop")))).alias("out"))
+
+    pairs = F.transform(found, lambda h, i: F.struct(F.get(gaps, i).alias("gap"), h.alias("hit")))
+    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+
+
+def merged_spans(text: str, offsets: str) -> Column:
+    """Texts of the (start, stop) spans, sorted; spans with one to five signs between them, none a letter or digit, become one.
+
+    NULL text gives NULL, no spans an empty array.
+    """
+    c = F.col(text)
+    empty = F.array().cast("array<struct<start:int,stop:int>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        gap = F.substring(c, last["stop"] + 1, x["start"] - last["stop"])
+        near = gap.rlike(r"^[^\p{L}\p{N}_]{1,5}$")
+        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), x["stop"].alias("stop"))))
+        return F.when(F.size(acc) == 0, F.array(x)).when(near, grown).otherwise(F.concat(acc, F.array(x)))
+
+    return F.transform(F.aggregate(F.array_sort(offsets), empty, step), lambda x: F.substring(c, x["start"] + 1, x["stop"] - x["start"]))
+
+
+def dashed(text: str | Column) -> Column:
+    """NULL as --."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(c.cast("string"), F.lit("--"))
+
+
+def thousands(number: str | Column) -> Column:
+    """Whole numbers with separators, NULL as --."""
+    return dashed(F.format_number(number, 0))
+
+
+def percent(share: Column, decimals: int = 1) -> Column:
+    """A share as per cent with fixed decimals, NULL as --."""
+    return dashed(F.format_string(f"%.{decimals}f%%", 100 * share))
 
 
 def parsed_date(text: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.metrics import agreement, cells, evaluation, pooled_alpha
+from corpusloom.sources.sinks import report_csv
 
 CELLS = ["a", "b", "c", "d"]
 
@@ -51,6 +52,43 @@ def evaluated(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.when(F.col("gc") == 1, "ALL").otherwise(F.col("code")).alias("code"), F.when(F.col("gl") == 1, "ALL").otherwise(F.coalesce("language", F.lit("(none)"))).alias("language"), *evaluation().values())
 
 
+def coder_counts(pairs: DataFrame) -> DataFrame:
+    """(code, n, n_first, n_second, prevalence_1, prevalence_2): how often each coder gave a label."""
+    stats = agreement()
+    return contingency(pairs, ["code"]).select("code", F.expr("a + b + c + d").alias("n"), F.expr("a + b").alias("n_first"), F.expr("a + c").alias("n_second"), stats["prevalence_1"], stats["prevalence_2"])
+
+
+def within(df: DataFrame, column: str, expected: float, tolerance: float, name: str) -> DataFrame:
+    """Adds ``name``: whether a value is as expected; NULL is not."""
+    return df.withColumn(name, F.coalesce(F.abs(F.col(column) - expected) <= tolerance, F.lit(False)))
+
+
+def phase_cells(pairs: DataFrame, order: str, first: int) -> DataFrame:
+    """(code, part, a, b, c, d) for all units (full), the first ones by ``order`` (before) and the rest (after).
+
+    Only the two parts are counted over the rows; full is their sum.
+    """
+    parts = contingency(pairs.withColumn("part", F.when(F.col(order) <= first, "before").otherwise("after")), ["code", "part"])
+    return parts.unionByName(parts.groupBy("code").agg(*[F.sum(x).alias(x) for x in CELLS]).withColumn("part", F.lit("full")))
+
+
+def per_category(cells: DataFrame, categories: DataFrame, statistics: list[str]) -> DataFrame:
+    """(number, code, <statistic>_<part> ...) for every category; those without units have NULLs, a label without a category raises."""
+    known = categories.select("number", "code")
+    stats = agreement()
+    wide = cells.select("code", "part", *[stats[s] for s in statistics]).groupBy("code").agg(
+        *[F.max(F.when(F.col("part") == p, F.col(s))).alias(f"{s}_{p}") for p in ("full", "before", "after") for s in statistics])
+    out = known.join(wide.withColumnRenamed("code", "_code"), F.col("code") == F.col("_code"), "full")
+    strict = F.when(F.col("number").isNotNull(), F.col("number")).otherwise(F.raise_error(F.concat(F.lit("no category for label "), F.col("_code"))).cast(known.schema["number"].dataType))
+    return out.select(strict.alias("number"), "code", *wide.columns[1:])
+
+
+def export(folder: str, tables: dict[str, DataFrame], order: dict[str, list[str]]) -> None:
+    """The tables of a reliability report (overall, per label, before and after, progression), each as one sorted CSV file."""
+    for name, df in tables.items():
+        report_csv(df, f"{folder}/{name}", df.columns, order[name], 4)
+
+
 def tier(f1: str | Column, kappa: str | Column) -> Column:
     """no_data, C, A or B by macro F1 and kappa; the order of the rules matters."""
     f, k = (F.col(x) if isinstance(x, str) else x for x in (f1, kappa))

@@ -35,6 +35,19 @@ def gated(units: DataFrame, parents: dict[str, str] = PARENT) -> DataFrame:
     return units.withColumns({c: F.when(F.col(p) == 1, F.col(c)) for c, p in parents.items() if c in units.columns and p in units.columns})
 
 
+def blinded(df: DataFrame, column: str = "label") -> DataFrame:
+    """Labels wiped for blind coding; a table without the column stays as it is."""
+    return df.withColumn(column, F.array().cast("array<string>")) if column in df.columns else df
+
+
+def unlabelled(df: DataFrame, label: str, text: str, parent: str | None = None, language: str | None = None, limit: int | None = None, order: list[str] | None = None) -> DataFrame:
+    """Rows with text whose label is missing, on request only under a positive parent, of one language, or the first ``limit`` by ``order``."""
+    out = df.filter(F.col(label).isNull() & F.col(text).isNotNull())
+    out = out.filter(F.col(parent) == 1) if parent else out
+    out = out.filter(F.col("language") == language) if language else out
+    return (out.orderBy(*order) if order else out).limit(limit) if limit is not None else out
+
+
 def resumed(column: str, fresh: Column) -> Column:
     """A label as it is, or the fresh value where it is NULL."""
     return F.coalesce(F.col(column), fresh).alias(column)

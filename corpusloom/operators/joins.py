@@ -13,12 +13,12 @@ def bounded(lookup: DataFrame, most: int = LOOKUP_MOST) -> DataFrame:
     return F.broadcast(lookup) if lookup.limit(most + 1).count() <= most else lookup
 
 
-def normalized(names: DataFrame, raw: str, categories: DataFrame, unknown: int = 99) -> DataFrame:
+def normalized(names: DataFrame, raw: str, categories: DataFrame, unknown: int = 99, strict: bool = False) -> DataFrame:
     """(raw, number, unmapped): names brought to category numbers.
 
     Tried in turn: the code, the readable name, the readable name behind
     underscores, the code within a model file name.  What fits nothing gets
-    ``unknown``.  NULL names are unmapped.
+    ``unknown``, or with ``strict`` stops the job.  NULL names are unmapped.
     """
     by_code = bounded(categories.select(F.col("code").alias("_k"), F.col("number").alias("_n")))
     by_name = bounded(categories.select(F.col("category").alias("_k"), F.col("number").alias("_n")))
@@ -27,7 +27,14 @@ def normalized(names: DataFrame, raw: str, categories: DataFrame, unknown: int =
     for k, (lookup, key) in enumerate(tries):
         out = out.withColumn("_key", key).join(lookup.withColumnsRenamed({"_k": "_key", "_n": f"_n{k}"}), "_key", "left").drop("_key")
     found = F.coalesce(*[f"_n{k}" for k in range(len(tries))])
-    return out.select("raw", F.coalesce(found, F.lit(unknown)).alias("number"), found.isNull().alias("unmapped"))
+    other = F.raise_error(F.concat(F.lit("no category for "), F.coalesce("raw", F.lit("NULL")))).cast("int") if strict else F.lit(unknown)
+    return out.select("raw", F.coalesce(found, other).alias("number"), found.isNull().alias("unmapped"))
+
+
+def readable(names: DataFrame, raw: str, categories: DataFrame) -> DataFrame:
+    """(raw, readable): the category's name of each code, or the name itself where there is none; NULL stays NULL."""
+    of = bounded(categories.select(F.col("code").alias("_k"), F.col("category").alias("_c")))
+    return names.select(F.col(raw).alias("raw")).join(of, F.col("raw") == F.col("_k"), "left").select("raw", F.coalesce("_c", "raw").alias("readable"))
 
 
 def with_region(articles: DataFrame, lookup: DataFrame, strict: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,12 @@ def activity_blocks(df: DataFrame, key: str, ts: str, gap_hours: float = 6.0) ->
     return out.withColumn("hours", F.round((F.unix_micros(F.col("last").cast("timestamp")) - F.unix_micros(F.col("first").cast("timestamp"))) / 3.6e9, 2))
 
 
+def span(df: DataFrame, key: str, ts: str) -> DataFrame:
+    """(key, n, first, last, hours): from the first to the last entry; NULL times are left out."""
+    out = df.filter(F.col(ts).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last"))
+    return out.withColumn("hours", F.round((F.unix_micros(F.col("last").cast("timestamp")) - F.unix_micros(F.col("first").cast("timestamp"))) / 3.6e9, 2))
+
+
 def densest_blocks(df: DataFrame, key: str, ts: str, gap_hours: float = 6.0) -> DataFrame:
     """Per key the block with most rows; of equal ones the first."""
     w = Window.partitionBy(key).orderBy(F.desc("n"), "block")
@@ -43,6 +49,11 @@ def trend(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFra
     return g.agg(F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.regr_intercept(y, x), 6).alias("intercept"), F.round(F.avg(y), 6).alias("mean"), F.count("*").alias("n"))
 
 
+def parent_name(label: str) -> Column:
+    """Name of the model that decides on a label's parent: the trailing number and _SUB give way to _Detection."""
+    return F.concat(F.regexp_replace(label, r"_?\d*_SUB$", ""), F.lit("_Detection"))
+
+
 def model_name_parts(df: DataFrame, name: str) -> DataFrame:
     """(name, language, stem, kind, label) from names like <label>[_Detection]_<EN|FR>[.jsonl].model."""
     base = F.regexp_replace(name, r"(\.jsonl)?\.model$", "")

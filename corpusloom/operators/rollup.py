@@ -63,20 +63,26 @@ def entity_rollup(units: DataFrame) -> DataFrame:
     """One row per doc_id: distinct entities of each kind (sorted), how many, and in how many units.
 
     Broken JSON, NULL and missing kinds hold no entities; names compare as they
-    are written.  The three kinds are exploded once, deduplicated with partial aggregates.
+    are written.  Lists and counts come from one aggregate.
     """
-    rows = units.filter("doc_id is not null").select("doc_id", "ner_entities", F.from_json("ner_entities", ENTITIES).alias("e"))
-    kinds = KINDS
-    counts = rows.groupBy("doc_id").agg(*[F.count_if(F.coalesce(F.size(f"e.{k}"), F.lit(0)) > 0).alias(f"n_sentences_with_{k.lower()}") for k in kinds])
-    each = exploded(rows, ["doc_id"]).distinct()
-    lists = each.groupBy("doc_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("name")))).alias(f"entities_{k.lower()}") for k in kinds])
-    empty = F.array().cast("array<string>")
-    return counts.join(lists, "doc_id", "left").select(
-        "doc_id", *[F.coalesce(f"entities_{k.lower()}", empty).alias(f"entities_{k.lower()}") for k in kinds],
-        *[F.size(F.coalesce(f"entities_{k.lower()}", empty)).alias(f"n_unique_{k.lower()}") for k in kinds], *[f"n_sentences_with_{k.lower()}" for k in kinds],
+    rows = units.filter("doc_id is not null").select("doc_id", F.from_json("ner_entities", ENTITIES).alias("e"))
+    names = rows.groupBy("doc_id").agg(
+        *[F.count_if(F.coalesce(F.size(f"e.{k}"), F.lit(0)) > 0).alias(f"n_sentences_with_{k.lower()}") for k in KINDS],
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_set(f"e.{k}")))).alias(f"entities_{k.lower()}") for k in KINDS],
+    )
+    clean = lambda k: F.filter(f"entities_{k.lower()}", lambda x: x.isNotNull())
+    return names.select(
+        "doc_id", *[clean(k).alias(f"entities_{k.lower()}") for k in KINDS], *[F.size(clean(k)).alias(f"n_unique_{k.lower()}") for k in KINDS],
+        *[f"n_sentences_with_{k.lower()}" for k in KINDS],
     )
 
 
 def entity_mentions(units: DataFrame) -> DataFrame:
     """(kind, name, doc_id), distinct: which articles name which entity; pure punctuation and single characters are left out."""
     return exploded(units, ["doc_id"]).select("kind", "name", "doc_id").filter(entity("name")).distinct()
+
+
+def pivoted(df: DataFrame, key: str, column: str, values: list, value: str) -> DataFrame:
+    """One row per key with a column per value; a key that has a value twice stops the job, a missing one is NULL."""
+    one = lambda v: F.when(F.count_if(F.col(column) == v) > 1, F.raise_error(F.lit(f"more than one row for {v}")).cast(df.schema[value].dataType)).otherwise(F.max(F.when(F.col(column) == v, F.col(value))))
+    return df.groupBy(key).agg(*[one(v).alias(v) for v in values])

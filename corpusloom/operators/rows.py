@@ -108,3 +108,27 @@ def dense_ids(df: DataFrame, order: list[str], name: str = "doc_id", start: int
         offset += sizes[p]
     table = df.sparkSession.createDataFrame(offsets or [(0, 0)], "_p int, _offset long")
     return numbered.join(F.broadcast(table), "_p").withColumn(name, F.col("_at") + F.col("_offset") + start).select(name, *rows.columns)
+
+
+def near_texts(df: DataFrame, key: str, text: str, similarity: float = 0.95, words: int = 5) -> DataFrame:
+    """(<key>_a, <key>_b, similarity): different texts, in lower case, whose sets of ``words``-word shingles overlap that much.
+
+    Equal texts are one, named by the smallest key; NULL, blank and shorter
+    texts are like nothing.  Sets are ordered by hash; two sets of that similarity share one of
+    their first shingles (as many as may be missing, and one), so an equi-join on those loses no
+    pair, and only sets whose sizes allow it are compared in full.
+    """
+    clean = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    t = df.filter(not_blank(text)).groupBy(F.md5(F.lower(text)).alias("_m")).agg(F.min(key).alias("k"), F.min(clean).alias("t"))
+    w = F.split("t", " ")
+    shingles = F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
+    sets = t.select("k", w.alias("w")).filter(F.size("w") >= words).select("k", F.array_sort(F.array_distinct(shingles)).alias("s")).withColumn("n", F.size("s"))
+    sets = checkpointed(sets)
+    first = sets.select("k", "n", F.explode(F.slice("s", 1, F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1)).alias("x"))
+    other = first.select(F.col("k").alias("k2"), F.col("n").alias("n2"), "x")
+    near = (F.col("k") < F.col("k2")) & (F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-9)
+    pairs = first.join(other, "x").filter(near).select("k", "k2").distinct()
+    full = pairs.join(sets.select("k", "s", "n"), "k").join(sets.select(F.col("k").alias("k2"), F.col("s").alias("s2"), F.col("n").alias("n2")), "k2")
+    both = F.size(F.array_intersect("s", "s2"))
+    like = full.select(F.col("k").alias(f"{key}_a"), F.col("k2").alias(f"{key}_b"), (both / (F.col("n") + F.col("n2") - both)).alias("similarity"))
+    return like.filter(F.col("similarity") >= similarity - 1e-12).withColumn("similarity", F.round("similarity", 6))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,42 +79,59 @@ def language_quotas(counts: dict[str, int], total: int) -> dict[str, int]:
     return quota
 
 
+def upscaled(total: int, labels: int, floor: int, share: float = 0.5) -> int:
+    """A sample too small to give ``share`` of the labels their floor is made larger."""
+    return max(total, math.ceil(floor * labels * share))
+
+
+def adjusted(labels: np.ndarray, drawn: int, quota: int, floor: int, ceiling: float) -> np.ndarray:
+    """Which rows of a 0/1 matrix stay: the first ``drawn`` are the sample, the others its supply, in order of preference.
+
+    Labels below the floor in the drawn rows are topped up one after the other
+    (rows added for an earlier one count).  While a label is beyond its share, the last of its rows
+    that no label at its floor needs leaves.  Then the surplus over ``quota``
+    leaves, last rows first, as far as no label at its floor needs them.
+    """
+    kept = np.arange(len(labels)) < drawn
+    count = labels[kept].sum(0)
+    for c in np.flatnonzero(count < floor):
+        spare = np.flatnonzero(~kept & (labels[:, c] == 1))
+        more = spare[: max(0, floor - int(count[c]))]
+        kept[more] = True
+        count = labels[kept].sum(0)
+
+    def leave(rows: np.ndarray, enough) -> None:
+        for r in rows[::-1]:
+            if enough():
+                break
+            has = labels[r] == 1
+            if (count[has] > floor).all():
+                kept[r] = False
+                count[has] -= 1
+
+    for c in np.flatnonzero(count > ceiling * kept.sum()):
+        leave(np.flatnonzero(kept & (labels[:, c] == 1)), lambda c=c: count[c] <= ceiling * kept.sum())
+    leave(np.flatnonzero(kept), lambda: kept.sum() <= quota)
+    return kept
+
+
 def constrained_sample(pool: DataFrame, key: list[str], codes: list[str], size: int, floor: int = 40, ceiling: float = 0.35) -> DataFrame:
-    """About ``size`` rows, weighted to rare labels, with at least ``floor`` of each label and none beyond a share of ``ceiling``.
+    """``size`` rows, weighted to rare labels, with at least ``floor`` of each label (as far as there are) and none beyond a share of ``ceiling``.
 
-    First a weighted draw; then, for labels below the floor, more rows with the
-    label by their draw keys (a label counts as lacking if it lacked after the draw); then, while a label is beyond
-    the ceiling, rows with it leave that hold no label at its floor.  The
-    adjusting loop works on the drawn rows and a bounded supply of at most
-    ``floor`` rows per label, which is what the driver sees.
+    A weighted draw, and for each label its ``floor`` first rows by draw key,
+    which is all that any adjustment can add: ``size + floor * labels`` rows at
+    most reach the driver, whatever the table holds.  Floors go before the ceiling and the size.
     """
     spark = pool.sparkSession
     weighted = row_weights(pool, codes).select(*key, *codes, "weight")
-    drawn = [r.asDict() for r in weighted_sample(weighted, size, "weight", *key).collect()]  # the sample itself
-    seen = {tuple(r[k] for k in key) for r in drawn}
-    count = lambda rows, c: sum(r[c] == 1 for r in rows)
-    for c in [c for c in codes if count(drawn, c) < floor]:
-        supply = weighted.filter(F.col(c) == 1).orderBy(draw_key(*key), *key).limit(floor + size)
-        for r in supply.toLocalIterator():
-            if count(drawn, c) >= floor:
-                break
-            row = r.asDict()
-            if tuple(row[k] for k in key) not in seen:
-                seen.add(tuple(row[k] for k in key))
-                drawn.append(row)
-    heavy = [c for c in codes if count(drawn, c) > ceiling * len(drawn)]
-    while heavy:
-        c = heavy[0]
-        n = {x: count(drawn, x) for x in codes}
-        gone = next((i for i in range(len(drawn) - 1, -1, -1) if drawn[i][c] == 1 and all(n[x] > floor for x in codes if drawn[i][x] == 1)), None)
-        if gone is None:
-            heavy.pop(0)
-            continue
-        drawn.pop(gone)
-        if count(drawn, c) <= ceiling * len(drawn):
-            heavy.pop(0)
-    schema = weighted.select(*key, *codes).schema
-    return spark.createDataFrame([tuple(r[f.name] for f in schema.fields) for r in drawn], schema)
+    drawn = weighted_sample(weighted, size, "weight", *key).select(*key, *codes).withColumn("_drawn", F.lit(1))
+    long = weighted.select(*key, *codes).unpivot(key, codes, "_code", "_v").filter("_v = 1")
+    held = first_per_group(long, "_code", floor, *key).select(*key).distinct()
+    supply = weighted.select(*key, *codes).join(held, key, "left_semi").withColumn("_drawn", F.lit(0))
+    rows = drawn.union(supply).groupBy(*key, *codes).agg(F.max("_drawn").alias("_drawn")).orderBy(F.desc("_drawn"), draw_key(*key), *key).toArrow()
+    labels = np.stack([np.nan_to_num(rows[c].to_numpy().astype(float)) == 1 for c in codes], 1).astype(np.int64) if rows.num_rows else np.zeros((0, len(codes)), np.int64)
+    kept = adjusted(labels, int(np.sum(rows["_drawn"].to_numpy())) if rows.num_rows else 0, size, floor, ceiling)
+    return spark.createDataFrame(rows.filter(pa.array(kept)).select([*key, *codes]), weighted.select(*key, *codes).schema)
 
 
 def oversampled(df: DataFrame, label: str, key: str) -> DataFrame:

@@ -31,6 +31,14 @@ def jsonl(spark: SparkSession, path: str, schema: str = ANNOTATION, malformed: s
     return (rows.filter("_bad is null") if malformed == "skip" else rows).drop("_bad")
 
 
+def numbered_jsonl(spark: SparkSession, path: str, schema: str = ANNOTATION) -> DataFrame:
+    """JSON lines of files that each fit one task; a malformed line stops the job and names its file and line number."""
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_f"), F.posexplode(F.split("value", r"\r?\n")).alias("_at", "value"))
+    rows = lines.filter(F.trim("value") != "").select("_f", "_at", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    wrong = F.raise_error(F.concat("_f", F.lit(", line "), F.col("_at") + 1)).cast("string")
+    return rows.select("r.*", F.when(F.col("r._bad").isNotNull(), wrong).alias("_checked")).filter(F.col("_checked").isNull()).drop("_bad", "_checked")
+
+
 def label_list(spark: SparkSession, path: str) -> DataFrame:
     """(label, position) from a JSON array of names."""
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<string>").alias("labels"))
@@ -53,6 +61,13 @@ def training_logs(spark: SparkSession, pattern: str, schema: str = EPOCHS) -> Da
     return df.select(F.regexp_replace(folder, "_(EN|FR)$", "").alias("category"), F.regexp_extract(folder, "_(EN|FR)$", 1).alias("language"), *df.columns)
 
 
+def training_table(logs: DataFrame) -> DataFrame:
+    """One row per (category, language): epochs, and the epoch with the best combined score (the first of equal ones) with its F1 values."""
+    score = 0.98 * F.col("f1_1") + 0.02 * F.col("macro_f1")
+    best = F.max_by(F.struct("epoch", "f1_1", "macro_f1"), F.struct(score, -F.col("epoch"))).alias("b")
+    return logs.filter("epoch is not null").groupBy("category", "language").agg(F.max("epoch").alias("epochs"), best).select("category", "language", "epochs", F.col("b.epoch").alias("best_epoch"), F.col("b.f1_1").alias("f1_1"), F.col("b.macro_f1").alias("macro_f1"))
+
+
 def paired_files(spark: SparkSession, names: DataFrame, name: str = "name") -> DataFrame:
     """Names of training files that have a validation file: ..._train_<L>.jsonl and ..._validation_<L>.jsonl."""
     train = names.filter(F.col(name).rlike(r"_train_(EN|FR)\.jsonl$")).select(name, F.regexp_replace(name, r"_train_(EN|FR)\.jsonl$", "_validation_$1.jsonl").alias("_v"))

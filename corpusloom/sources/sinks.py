@@ -37,6 +37,28 @@ def jsonl(df: DataFrame, path: str, partition: list[str] | None = None) -> None:
     (w.partitionBy(*partition) if partition else w).json(path)
 
 
+def batched(df: DataFrame, path: str, key: str, batches: int) -> int:
+    """Parquet in batches by a hash of the key, one folder each; a batch that is complete isn't written again.  Returns the batches written.
+
+    A folder without its success mark is what an interrupted run left; it is replaced.
+    """
+    spark = df.sparkSession
+    jvm = spark._jvm
+    done = 0
+    for n in range(batches):
+        folder = f"{path}/batch={n}"
+        mark = jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+        if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+            parquet(df.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == n), folder)
+            done += 1
+    return done
+
+
+def float_vectors(df: DataFrame, column: str) -> DataFrame:
+    """The vector column as an array of single-precision numbers, as vector stores export it."""
+    return df.withColumn(column, F.col(column).cast("array<float>"))
+
+
 def annotation_records(df: DataFrame, codes: list[str], text: str, meta: list[str]) -> DataFrame:
     """(text, label, meta): positive labels as a list, descriptive columns as a struct; NULL descriptions get a default."""
     labels = F.filter(F.array(*[F.when(F.col(c) == 1, F.lit(c)) for c in codes]), lambda x: x.isNotNull())

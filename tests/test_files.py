@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.operators import agreement
 from corpusloom.sources import files, sinks
 from corpusloom.sources.tables import table
 from corpusloom.streaming import units as stream
@@ -76,3 +77,41 @@ def test_stream_resumes(spark, tmp_path):
     assert out.count() == 4 and out.filter("doc_id = 2 and sentence_id = 1").first()["economic_frame"] == 1
     batch = stream.unit_stream(spark.read.schema(schema).parquet(src), "doc_id", "text", "ts")
     assert batch.count() == 4 and stream.windowed_counts(batch, "ts", "economic_frame").count() == 2
+
+
+def test_malformed_line_is_named(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"text": "x", "label": []}\n\n{"text": broken\n')
+    (tmp_path / "b.jsonl").write_text('{"text": "x", "label": []}\n\n{"text": "y", "label": ["e"]}\n')
+    assert sorted(r["text"] for r in files.numbered_jsonl(spark, str(tmp_path / "b.jsonl")).collect()) == ["x", "y"]
+    with pytest.raises(Exception, match="a.jsonl, line 3"):
+        files.numbered_jsonl(spark, str(tmp_path / "a.jsonl")).collect()
+
+
+def test_training_table(spark):
+    logs = spark.createDataFrame([("c", "EN", 1, 0.5, 0.6), ("c", "EN", 2, 0.7, 0.6), ("c", "EN", 3, 0.7, 0.6), ("c", "FR", 1, None, None)], "category string, language string, epoch int, f1_1 double, macro_f1 double")
+    assert sorted(map(tuple, files.training_table(logs).select("category", "language", "epochs", "best_epoch").collect()))[0] == ("c", "EN", 3, 2)
+
+
+def test_batches_resume(spark, tmp_path):
+    import shutil
+
+    df = spark.createDataFrame([(k, [float(k)]) for k in range(50)], "k long, v array<double>")
+    assert sinks.batched(sinks.float_vectors(df, "v"), str(tmp_path / "v"), "k", 4) == 4
+    (tmp_path / "v" / "batch=2" / "_SUCCESS").unlink()
+    shutil.rmtree(tmp_path / "v" / "batch=3")
+    assert sinks.batched(sinks.float_vectors(df, "v"), str(tmp_path / "v"), "k", 4) == 2
+    back = spark.read.parquet(str(tmp_path / "v"))
+    assert back.count() == 50 and dict(back.dtypes)["v"] == "array<float>"
+
+
+def test_partitioned_records(spark, tmp_path):
+    df = spark.createDataFrame([("a", "train", "EN", "x"), ("b", "test", "FR", "é")], "label string, split string, language string, text string")
+    sinks.jsonl(df, str(tmp_path / "j"), ["label", "split", "language"])
+    assert (tmp_path / "j" / "label=b" / "split=test" / "language=FR").is_dir() and spark.read.json(str(tmp_path / "j")).count() == 2
+
+
+def test_report_tables(spark, tmp_path):
+    df = spark.createDataFrame([("b", 0.5), ("a", None)], "code string, kappa double")
+    agreement.export(str(tmp_path), {"overall": df, "per_label": df}, {"overall": ["code"], "per_label": ["code"]})
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["overall", "per_label"]
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "overall"), header=True).collect()] == [("a", "--"), ("b", "0.5000")]

@@ -209,3 +209,60 @@ def test_normalized(spark):
 def test_metric_cells_skip_nulls(spark):
     df = spark.createDataFrame([(1, 1), (1, None), (None, None)], "first int, second int")
     assert tuple(df.agg(*metrics.cells("first", "second")).first()) == (1, 0, 0, 0)
+
+
+def test_spans_and_merging(spark):
+    df = spark.createDataFrame([(1, "Ann  Lee, of Old-Town; x Bob"), (2, ""), (3, None), (4, "no capital"), (5, "Ab1Cd -- --- Ef")], "k int, t string")
+    out = {r["k"]: r["s"] for r in df.select("k", "t", T.spans_of("t", "[A-Z][a-z]+").alias("o")).select("k", T.merged_spans("t", "o").alias("s")).collect()}
+    assert out == {1: ["Ann  Lee", "Old-Town", "Bob"], 2: [], 3: None, 4: [], 5: ["Ab", "Cd", "Ef"]}
+
+
+def test_adjusted_keeps_floor_ceiling_and_quota():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    labels = np.stack([r.random(400) < p for p in (0.7, 0.2, 0.02)], 1).astype(int)
+    kept = sampling.adjusted(labels, 100, 100, 5, 0.5)
+    n = labels[kept].sum(0)
+    assert 40 <= kept.sum() <= 100 and (n >= 5).all() and n[0] <= 0.5 * kept.sum() + 5
+    assert sampling.adjusted(labels[:0], 0, 10, 5, 0.5).sum() == 0
+    assert sampling.upscaled(600, 65, 40) == 1300 and sampling.upscaled(6000, 65, 40) == 6000
+
+
+def test_unmapped_labels_abort(spark):
+    categories = spark.createDataFrame([(1, "a", "A b"), (2, "c", "C")], "number int, code string, category string")
+    pairs = spark.createDataFrame([("a", 1, 1), ("a", 0, 1), ("x", 1, 1)], "code string, first int, second int").withColumn("seq", F.lit(1))
+    assert {r["raw"]: r["readable"] for r in joins.readable(pairs.selectExpr("code as n"), "n", categories).collect()} == {"a": "A b", "x": "x"}
+    cells = agreement.phase_cells(pairs, "seq", 1)
+    with pytest.raises(Exception, match="no category for label x"):
+        agreement.per_category(cells, categories, ["cohens_kappa"]).collect()
+    good = agreement.per_category(cells.filter("code = 'a'"), categories, ["percent_agreement"]).orderBy("number").collect()
+    assert [tuple(r) for r in good] == [(1, "a", 0.5, 0.5, None), (2, "c", None, None, None)]
+    with pytest.raises(Exception, match="no category"):
+        joins.normalized(pairs.selectExpr("code as n"), "n", categories, strict=True).collect()
+
+
+def test_pivot_stops_on_duplicates(spark):
+    df = spark.createDataFrame([("a", "EN", 1.0), ("a", "FR", 2.0), ("b", "EN", 3.0)], "k string, c string, v double")
+    assert values(rollup.pivoted(df, "k", "c", ["EN", "FR"], "v"), "k", "EN", "FR") == [("a", 1.0, 2.0), ("b", 3.0, None)]
+    with pytest.raises(Exception, match="more than one row"):
+        rollup.pivoted(df.union(df.limit(1)), "k", "c", ["EN", "FR"], "v").collect()
+
+
+def test_near_texts(spark):
+    base = " ".join(f"w{k}" for k in range(200))
+    df = spark.createDataFrame([(1, base), (2, base.replace("w199", "z")), (3, base), (4, base.replace("w50 ", "a b c d e f g h i j ")), (5, None), (6, " "), (7, "too short")], "k int, t string")
+    assert [tuple(r)[:2] for r in rows.near_texts(df, "k", "t").collect()] == [(1, 2)]
+    assert rows.near_texts(df.limit(0), "k", "t").count() == 0
+
+
+def test_class_scores(spark):
+    df = spark.createDataFrame([(1, [1.0, 1.0]), (2, [0.0, 1000.0]), (3, None)], "k int, s array<double>").select("k", metrics.softmax("s").alias("p"))
+    assert values(df.select("k", metrics.argmax("p").alias("c"), F.get("p", 1).alias("q")), "k", "c", "q") == [(1, 0, 0.5), (2, 1, 1.0), (3, None, None)]
+
+
+def test_blinding_and_unlabelled(spark):
+    df = spark.createDataFrame([(1, ["x"], None, "t", 1, "EN"), (2, ["y"], 1, "t", 1, "EN"), (3, [], None, None, 1, "EN"), (4, [], None, "t", 0, "FR")], "k int, label array<string>, a int, t string, p int, language string")
+    assert all(r["label"] == [] for r in annotate.blinded(df).collect()) and annotate.blinded(df.drop("label")).columns == df.drop("label").columns
+    assert values(annotate.unlabelled(df, "a", "t"), "k") == [(1,), (4,)] and values(annotate.unlabelled(df, "a", "t", "p", "EN"), "k") == [(1,)]
+    assert values(annotate.unlabelled(df, "a", "t", limit=1, order=["k"]), "k") == [(1,)]
