@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrow import batch, strings
-from corpusloom.llm.textform import LOOK_ALIKE, consistent_form
+from corpusloom.llm.textform import LOOK_ALIKE, basic_form, repaired_token
 from corpusloom.plans.stages import checkpointed
 
 # Letters that only roughly resemble a Latin one; a token is repaired with them only if that gives a word of the corpus.
@@ -39,21 +40,36 @@ def dominant_script(token: str) -> str | None:
     return max(count, key=lambda s: (count[s], s == "latin")) if count else None
 
 
+def scripts(token: str) -> set[str]:
+    return {s for s in map(script, token) if s}
+
+
+def mixed_repaired(token: str) -> str:
+    """A token of several scripts, Latin among them, with its sure look-alikes replaced; any other as it is."""
+    return repaired_token(token) if not token.isascii() and "latin" in scripts(token) else token
+
+
 def doubtful_tokens(form: str) -> list[str]:
-    """Tokens that still mix scripts after the sure look-alikes are replaced."""
-    return [t for t in _TOKEN.findall(form) if not t.isascii() and len({s for s in map(script, t) if s}) > 1]
+    """Tokens that only the vocabulary can decide on: those that still mix scripts, and those of one foreign script made of look-alikes only."""
+    out = []
+    for t in _TOKEN.findall(form):
+        if not t.isascii():
+            kinds = scripts(t)
+            if len(kinds) > 1 or (kinds and kinds <= {"greek", "cyrillic"} and repaired_token(t) != t):
+                out.append(t)
+    return out
 
 
 def guess(token: str) -> str | None:
-    """The token in Latin letters only, where each foreign letter has at least a rough twin."""
-    plain = token.translate(_ANY_TWIN)
+    """The token in Latin letters only, where each foreign letter has a sure twin or, in a token of several scripts, a rough one."""
+    plain = token.translate(_ANY_TWIN) if len(scripts(token)) > 1 else repaired_token(token)
     return plain if dominant_script(plain) == "latin" and all(script(c) in (None, "latin") for c in plain) else None
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keys, texts, source = b.columns
-        form = [consistent_form(t) for t in strings(texts)]
+        form = [unicodedata.normalize("NFC", _TOKEN.sub(lambda m: mixed_repaired(m.group()), basic_form(t))) if t and not t.isascii() else t for t in strings(texts)]
         yield batch(key=keys, source=source, form=pa.array(form, pa.string()), doubtful=pa.array([doubtful_tokens(f) if f and not f.isascii() else [] for f in form], pa.list_(pa.string())))
 
 
@@ -78,17 +94,18 @@ def consistent_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, source, form): every row's text in its consistent form, and the digest of the text as it was.
 
     Per token: full-width forms, ligatures, accents, widthless characters and
-    non-breaking spaces are made plain; letters with a sure Latin twin are
-    replaced where every foreign letter of the token has one.  A token that
-    still mixes scripts is judged by its dominant script: it is repaired with
-    rough twins only if the result is a word of the corpus, else it stays.
+    non-breaking spaces are made plain.  A token of several scripts, Latin among
+    them, is repaired where every foreign letter has a sure Latin twin.  All
+    others are up to the vocabulary: a token that still mixes scripts is repaired with rough twins, and one
+    of a foreign script that consists of look-alikes only with sure ones, if the
+    result is Latin and a word of the corpus; else it stays, as real words of that script do.
     A NULL text gives a NULL form, an empty one an empty form.  Repeated rows
     stay; a key may come with several texts.
     """
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).select("key", "text", F.md5("text").alias("source"))
     forms = checkpointed(rows.mapInArrow(_forms, "key long, source string, form string, doubtful array<string>"))
     doubtful = forms.select(F.explode("doubtful").alias("token")).distinct().mapInArrow(_guesses, "token string, word string")
-    vocabulary = forms.select(F.explode(F.split(F.lower("form"), r"[^\p{L}\p{N}]+")).alias("seen")).filter(F.col("seen").rlike("^[a-z]+$")).distinct()
+    vocabulary = forms.select(F.explode(F.split(F.lower("form"), r"[^\p{L}\p{N}]+")).alias("seen")).filter(F.col("seen").rlike("^[a-z0-9]+$")).distinct()
     sure = doubtful.join(vocabulary, F.lower("word") == F.col("seen"), "left_semi")
     at = forms.filter(F.size("doubtful") > 0).select("source", "form", F.explode("doubtful").alias("token")).distinct()
     repairs = at.join(sure, "token").groupBy("source", "form").agg(F.collect_list(F.struct("token", "word")).alias("repairs"))

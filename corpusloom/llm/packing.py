@@ -129,21 +129,45 @@ def reduced(stock: Stock, capacity: int) -> list[tuple[tuple[int, ...], int]]:
 
 
 def best_fit(stock: Stock, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Best fit on counts: a container takes, again and again, the largest item that fits; equal containers at once."""
-    plan: list[tuple[tuple[int, ...], int]] = []
-    while stock.sizes:
-        content: list[int] = []
-        need: dict[int, int] = {}
-        room = capacity
-        while room > 0 and (k := stock.largest(room, need)) > 0:
-            content.append(k)
-            need[k] = need.get(k, 0) + 1
-            room -= k
-        n = min(stock.count[k] // m for k, m in need.items())
-        plan.append((tuple(content), n))
-        for k, m in need.items():
-            stock.take(k, n * m)
-    return plan
+    """Best fit on counts: largest items first, each into the container with the least room that it fits in, a new one if there is none.
+
+    Containers of equal content are one entry.  A container that still has room
+    for another item of the same size has less room than before, so it is the
+    next one's best fit, too.
+    """
+    room: dict[int, list[list]] = {}  # room -> [content, number of containers]
+    rooms: list[int] = []
+
+    def put(content: tuple[int, ...], left: int, n: int) -> None:
+        if left not in room:
+            bisect.insort(rooms, left)
+            room[left] = []
+        room[left].append([content, n])
+
+    for size in sorted(stock.sizes, reverse=True):
+        n = stock.count[size]
+        while n:
+            at = bisect.bisect_left(rooms, size)
+            left = rooms[at] if at < len(rooms) else capacity
+            content, containers = room[left].pop() if at < len(rooms) else ((), n)
+            each = left // size
+            full = min(containers, n // each)
+            if full:
+                put(content + (size,) * each, left - each * size, full)
+                n -= full * each
+            some = n if full < containers else 0  # fewer items than fill one more container
+            if some:
+                put(content + (size,) * some, left - some * size, 1)
+                n = 0
+            rest = containers - full - bool(some)
+            if rest and at < len(rooms) and left in room:
+                room[left].append([content, rest])
+            for r in (left,):
+                if r in room and not room[r]:
+                    del room[r]
+                    rooms.remove(r)
+        stock.take(size, stock.count[size])
+    return [(content, n) for r in rooms for content, n in room[r]]
 
 
 def packing_plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

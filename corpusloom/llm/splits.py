@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrow import batch, strings
@@ -35,36 +36,105 @@ def form_digests(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(_digests, "key long, form binary")
 
 
-def related_records(records: DataFrame, articles: DataFrame | None) -> DataFrame:
-    """(record_id, component): records with the same text, or texts of the same article, share a component.
+@dataclass
+class State:
+    """The persisted component table: what earlier deliveries have settled.
 
-    ``records`` has (record_id, text), ``articles`` (doc_id, sentences), record
-    ids are not negative.  Relations count directly or over other records and
-    articles; texts compare in consistent form.  The component's name is its
-    smallest record_id.  Records with NULL or blank text stand alone.  Articles
-    that hold no record's text never enter the graph.
+    ``members`` has (record_id, form, component, split), ``docs`` the component
+    of each article that holds a record's text, ``forms`` the (form, doc) of all articles.
     """
-    members = checkpointed(form_digests(records, "record_id", "text").distinct().withColumnRenamed("key", "record_id"))
-    named = members.groupBy("form").agg(F.min("record_id").alias("rep"))
-    edges = members.join(named, "form").select(F.col("rep").alias("a"), F.col("record_id").alias("b"))
-    if articles is not None:
-        at = form_digests(articles, "doc_id", "sentences").join(named, "form").select("rep", (-F.col("key") - 1).alias("doc")).distinct()
-        # articles have negative nodes; the root of a component may be one, so it is renamed below
-        edges = edges.union(at.select("doc", "rep"))
-    linked = components(edges).filter("node >= 0")
-    names = linked.groupBy("component").agg(F.min("node").alias("name"))
-    found = linked.join(names, "component").select(F.col("node").alias("record_id"), F.col("name").alias("component"))
-    rest = records.select(F.col("record_id").cast("long")).filter("record_id is not null").distinct().join(found, "record_id", "left_anti")
-    return found.union(rest.select("record_id", F.col("record_id").alias("component")))
 
+    members: DataFrame
+    docs: DataFrame
+    forms: DataFrame
 
-def related_groups(records: DataFrame, articles: DataFrame) -> DataFrame:
+    def saved(self, folder: str) -> State:
+        """Written to a folder that all executors share, and read from there."""
+        for name in ("members", "docs", "forms"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+        return State.read(self.members.sparkSession, folder)
+
+    @staticmethod
+    def read(spark: SparkSession, folder: str) -> State:
+        return State(*(spark.read.parquet(f"{folder}/{name}") for name in ("members", "docs", "forms")))
+
+    @staticmethod
+    def empty(spark: SparkSession) -> State:
+        return State(*(spark.createDataFrame([], x) for x in ("record_id long, form binary, component long, split string", "doc long, component long", "form binary, doc long")))
+
+
+def extended(state: State | None, records: DataFrame, articles: DataFrame | None) -> State:
+    """The component table with a delivery added: records (record_id, text) and articles (doc_id, sentences).
+
+    Records with the same text, or texts of the same article, share a component,
+    directly or over other records and articles, of this delivery or earlier
+    ones; texts compare in consistent form.  Only edges of what is new are
+    looked at: an earlier component comes in as one node.  A component's name is its
+    smallest record_id, so merged ones are renamed, by pointer jumping.  Records
+    with NULL or blank text stand alone; articles that hold no record's text
+    never enter the graph.  Record ids are not negative.  ``split`` is NULL for new records.
+    """
+    spark = records.sparkSession
+    first = state is None
+    old = State.empty(spark) if first else state
+    given = form_digests(records, "record_id", "text").distinct().withColumnRenamed("key", "record_id")
+    fresh = checkpointed(given if first else given.join(old.members.select("record_id", "form"), ["record_id", "form"], "left_anti"))
+    named = fresh.groupBy("form").agg(F.min("record_id").alias("rep"))
+    edges = fresh.join(named, "form").select(F.col("rep").alias("a"), F.col("record_id").alias("b"))
+    added = None if articles is None else form_digests(articles, "doc_id", "sentences").distinct().select("form", F.col("key").alias("doc"))
+    forms = old.forms if added is None else added if first else old.forms.union(added).distinct()
+    node = (-F.col("doc") - 1).alias("a")  # articles have negative nodes
+    if not (first and added is None):
+        edges = edges.union(forms.join(named, "form").select(node, F.col("rep").alias("b")).distinct())
+    if not first:
+        of_form = old.members.filter("form is not null").groupBy("form").agg(F.min("component").alias("component"))
+        of_record = old.members.select("record_id", "component").distinct()
+        if added is not None:
+            edges = edges.union(added.join(of_form, "form").select(node, F.col("component").alias("b")).distinct())
+        edges = checkpointed(edges)
+        touched = edges.filter("a < 0").select((-F.col("a") - 1).alias("doc")).distinct()
+        edges = edges.union(old.docs.join(touched, "doc", "left_semi").select(node, F.col("component").alias("b")))
+        edges = edges.union(named.join(of_form, "form").select(F.col("component").alias("a"), F.col("rep").alias("b"))).union(fresh.join(of_record, "record_id").select(F.col("component").alias("a"), F.col("record_id").alias("b")))
+    linked = components(edges)
+    names = linked.filter("node >= 0").groupBy("component").agg(F.min("node").alias("name"))
+    found = checkpointed(linked.join(names, "component").select("node", "name"))
+    of = found.filter("node >= 0")
+    members = fresh.join(of.withColumnRenamed("node", "record_id"), "record_id", "left").select("record_id", "form", F.coalesce("name", "record_id").alias("component"), F.lit(None).cast("string").alias("split"))
+    seen = members.select("record_id") if first else members.select("record_id").union(old.members.select("record_id"))
+    alone = records.select(F.col("record_id").cast("long")).filter("record_id is not null").distinct().join(seen, "record_id", "left_anti")
+    members = members.union(alone.select("record_id", F.lit(None).cast("binary"), F.col("record_id").alias("component"), F.lit(None).cast("string")))
+    docs = found.filter("node < 0").select((-F.col("node") - 1).alias("doc"), F.col("name").alias("component"))
+    if not first:
+        renamed = lambda t: t.join(of.select(F.col("node").alias("component"), "name"), "component", "left").withColumn("component", F.coalesce("name", "component")).drop("name")
+        members = renamed(old.members).select("record_id", "form", "component", "split").union(members)
+        docs = renamed(old.docs).select("doc", "component").union(docs).distinct()
+    return State(members, docs, forms)
+
+
+def related_records(records: DataFrame, articles: DataFrame | None) -> DataFrame:
+    """(record_id, component) of a first delivery; see :func:`extended`."""
+    return extended(None, records, articles).members.select("record_id", "component").distinct()
+
+
+def groups(comp: DataFrame) -> DataFrame:
     """(record_id, group_record_id) of records in a group of at least two."""
-    comp = related_records(records, articles)
     large = comp.groupBy("component").count().filter("count >= 2").select("component")
     return comp.join(large, "component").select("record_id", F.col("component").alias("group_record_id"))
 
 
+def related_groups(records: DataFrame, articles: DataFrame) -> DataFrame:
+    return groups(related_records(records, articles))
+
+
+def delivered(state: State | None, records: DataFrame, articles: DataFrame | None, shares: dict[str, float] | None = None) -> State:
+    """The component table with a delivery added and every record in a split; see :func:`assigned_splits`."""
+    new = extended(state, records, articles)
+    members = checkpointed(new.members)
+    before = members.filter("split is not null").select("record_id", "split").distinct()
+    placed = assigned_splits(members.select("record_id", "component").distinct(), shares, before).select("record_id", F.col("split").alias("_split"))
+    return State(members.join(placed, "record_id").select("record_id", "form", "component", F.col("_split").alias("split")), new.docs, new.forms)
+
+
 def filled(sizes: list[tuple[int, int]], deficit: dict[str, float]) -> list[tuple[int, int, str, int]]:
     """How many components of each size go to each split.
 

@@ -53,6 +53,22 @@ def test_reduction_loses_nothing():
         assert sum(n for _, n in fixed) + (fewest(rest, capacity) if rest else 0) == fewest(sizes, capacity)
 
 
+def test_best_fit_as_item_by_item():
+    for seed in range(300):
+        r = random.Random(seed)
+        capacity = r.randint(5, 60)
+        sizes = [r.randint(1, capacity) for _ in range(r.randint(1, 80))]
+        rooms = []
+        for s in sorted(sizes, reverse=True):
+            fits = [i for i, room in enumerate(rooms) if room >= s]
+            if fits:
+                rooms[min(fits, key=lambda i: rooms[i])] -= s
+            else:
+                rooms.append(capacity - s)
+        plan = packing.best_fit(packing.Stock(Counter(sizes)), capacity)
+        assert sorted(capacity - sum(c) for c, n in plan for _ in range(n)) == sorted(rooms)
+
+
 def test_packed_items(spark):
     r = random.Random(3)
     sizes = [max(1, int(r.lognormvariate(3, 1))) for _ in range(3000)] + [0, -1, None, 250, 1000, 100, 100]

@@ -207,3 +207,31 @@ def test_bounds_hold():
     q, x = map(np.array, zip(*[(i, j) for i in range(len(sets)) for j in range(len(sets)) if n[j] <= n[i] and n[j] >= 0.6 * n[i]], strict=True))
     true = np.array([len(sets[a] & sets[b]) for a, b in zip(q, x, strict=True)])
     assert p.bounded(q, x, true).all()
+
+
+def test_deliveries_extend_the_component_table(spark, tmp_path):
+    records = lambda *r: spark.createDataFrame(list(r), "record_id long, text string")
+    articles = lambda *a: spark.createDataFrame(list(a), "doc_id long, sentences string")
+    one = records((10, "a b c"), (11, "d e f"), (12, "g h i"), (13, None), (14, "zz"), (14, "zz"))
+    first = splits.delivered(None, one, articles((1, "d e f"), (1, "later text"), (2, "nobody's text"), (None, "d e f"), (3, None))).saved(str(tmp_path / "1"))
+    held = {r["record_id"]: r["split"] for r in first.members.collect()}
+    assert set(held) == {10, 11, 12, 13, 14} and None not in held.values()
+    # 20 joins 11 over an article of the first delivery, 21 joins 10 and 12 over a new one, 22 stands alone, 12 comes again
+    two = records((20, "later text"), (21, "x y"), (22, "own"), (12, "g h i"), (23, None), (5, "a b c"))
+    second = splits.delivered(first, two, articles((7, "x y"), (7, "a b c"), (7, "g h i"))).saved(str(tmp_path / "2"))
+    got = {r["record_id"]: (r["component"], r["split"]) for r in second.members.collect()}
+    assert {k: c for k, (c, _) in got.items()} == {5: 5, 10: 5, 12: 5, 21: 5, 11: 11, 20: 11, 13: 13, 14: 14, 22: 22, 23: 23}
+    assert got[20][1] == held[11] and got[13][1] == held[13] and got[14][1] == held[14]
+    assert all(got[k][1] == (held[10] if held[10] == held[12] else "quarantined") for k in (5, 10, 12, 21))
+    whole = one.union(two)
+    both = articles((1, "d e f"), (1, "later text"), (7, "x y"), (7, "a b c"), (7, "g h i"))
+    assert rows(splits.related_records(whole, both), "record_id", "component") == sorted((k, c) for k, (c, _) in got.items())
+    third = splits.delivered(second, records().limit(0), None)
+    assert {r["record_id"]: (r["component"], r["split"]) for r in third.members.collect()} == got
+
+
+def test_tokens_by_script_and_vocabulary(spark):
+    # the second text has a token of look-alikes only that is a word of the corpus, the third one that isn't
+    df = spark.createDataFrame([(1, "a cop came"), (2, "a сор came"), (3, "a росс came"), (4, "a cоp came"), (5, "a cop cаme"), (6, None), (7, "")], "record_id long, text string")
+    got = dict(rows(homoglyphs.consistent_texts(df, "record_id", "text").filter("key is not null"), "key", "form"))
+    assert got == {1: "a cop came", 2: "a cop came", 3: "a росс came", 4: "a cop came", 5: "a cop came", 6: None, 7: ""}
