@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,44 +79,72 @@ class PassageSearch:
         return both[0], both[1]
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", span: int = SPAN, block_words: int = 400_000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", span: int = SPAN, block_words: int = 400_000, portion_words: int = 4_000_000) -> DataFrame:
     """(doc_id, item_id): at least ``span`` consecutive words of the item stand in the document.
 
-    Items are read in blocks of ``block_words`` words, the bound of what goes
-    to the workers at once; every block is searched in all documents.  Texts
+    Items are read in blocks of ``block_words`` words, the bound of one search
+    table; the documents are scanned once, and each portion of them is searched for
+    one block after the other, its words hashed once.  Texts
     that are NULL, blank or shorter than ``span`` words hold and give nothing.
     Repeated documents and items give distinct rows.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_key).cast("long"), F.col(text)).filter(f"{doc_key} is not null and {text} is not null")
-    keys: list[int] = []
-    texts: list[str] = []
-    blocks, size = [], 0
-    for k, t in items.select(F.col(item_key).cast("long"), F.col(text)).filter(f"{item_key} is not null and {text} is not null").distinct().toLocalIterator():
-        keys.append(k)
-        texts.append(t)
-        size += len(t) // 5 + 1
-        if size >= block_words:
-            blocks.append((keys, texts))
-            keys, texts, size = [], [], 0
+    held = items.select(F.col(item_key).cast("long").alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null").distinct()
+    total = held.agg(F.sum(F.length("text"))).first()[0] or 0
+    ways = -(-(total // 5 + 1) // block_words)
+    blocks = []
+    for k in range(ways):  # the driver holds one block at a time
+        t = held.filter(F.pmod(F.xxhash64("key", "text"), F.lit(ways)) == k).toArrow()
+        if t.num_rows:
+            blocks.append((uuid.uuid4().hex, spark.sparkContext.broadcast((t["key"].to_pylist(), t["text"].to_pylist()))))
+    if not blocks:
+        return spark.createDataFrame([], "doc_id long, item_id long")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from corpusloom.llm.leakage import built  # the worker's own module, whose tables outlive the task
+
+        for keys, hashed in _portions(batches, portion_words):
+            for token, block in blocks:
+                names, machine = built(token, lambda block=block: (np.array(block.value[0], np.int64), PassageSearch(*hashed_words(block.value[1]), span=span)))
+                doc, item = machine.found(*hashed)
+                yield batch(doc_id=keys[doc], item_id=names[item])
+
+    return docs.mapInArrow(search, "doc_id long, item_id long").distinct()
+
+
+def _portions(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]]:
+    """(keys, (word hashes, starts)) of about ``most`` words; longer texts stay whole."""
+    keys: list[np.ndarray] = []
+    parts: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    size = 0
+
+    def joined():
+        return np.concatenate(keys), (np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(counts))]))
+
+    for b in batches:
+        h, start = hashed_words(strings(b.column(1)))
+        keys.append(b.column(0).to_numpy())
+        parts.append(h)
+        counts.append(np.diff(start))
+        size += len(h)
+        if size >= most:
+            yield joined()
+            keys, parts, counts, size = [], [], [], 0
     if keys:
-        blocks.append((keys, texts))
-    result = spark.createDataFrame([], "doc_id long, item_id long")
-    for block in blocks:
-        result = result.union(_searched(docs, spark.sparkContext.broadcast(block), span))
-    return result.distinct()
+        yield joined()
 
 
-def _searched(docs: DataFrame, block, span: int) -> DataFrame:
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, texts = block.value
-        machine = PassageSearch(*hashed_words(texts), span=span)
-        names = np.array(keys, np.int64)
-        for b in batches:
-            doc, item = machine.found(*hashed_words(strings(b.column(1))))
-            yield batch(doc_id=b.column(0).to_numpy()[doc], item_id=names[item])
-
-    return docs.mapInArrow(search, "doc_id long, item_id long")
+_tables: dict[str, tuple] = {}
+
+
+def built(token: str, make) -> tuple:
+    """The search table of that name; a worker keeps one at a time."""
+    if token not in _tables:
+        _tables.clear()
+        _tables[token] = make()
+    return _tables[token]
 
 
 def leak_report(documents: DataFrame, items: DataFrame) -> DataFrame:

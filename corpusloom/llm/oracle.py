@@ -49,6 +49,17 @@ def _like(a: str, b: str, condition: str) -> str:
 
 P3 = f"with {_VALIDATION}, {_TRAIN}, vx as (select distinct k, unnest(p) as x from v), tx as (select distinct k, unnest(p) as x from t) select ka as record_id, kb as train_record_id from ({_like('vx', 'tx', 'true')})"
 
+P3_REPORT = f"""
+with e as (select record_id, split, coalesce(source, '(none)') as source, {words('text')} as w from just_1_sub_validation_en),
+q as (select distinct record_id, array_to_string(w, ' ') as line, w from e where len(w) > 0), tw as (select distinct record_id, {words('text')} as w from just_1_sub_train_en where text is not null),
+r as (select distinct unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) as x from tw),
+m as (select line, n, unnest(range(i, i + 8)) as pos from (select line, n, p.i as i, p.x as x from (select line, len(w) as n, unnest(list_transform(range(1, len(w) - 6), lambda i: {{'i': i, 'x': array_to_string(w[i:i + 7], ' ')}})) as p from q)) where x in (select x from r)),
+c as (select line, count(distinct pos) as covered from m group by 1),
+f as ({P3}), g as (select f.record_id, count(distinct train_record_id) as training, max((tq.line = q.line)::int) as exact from f join q using (record_id) join (select record_id, array_to_string(w, ' ') as line from tw) tq on tq.record_id = f.train_record_id group by 1),
+z as (select record_id, max(coalesce(covered, 0) / len(w)) as cover from q left join c using (line) group by 1),
+o as (select distinct record_id, split, source from e)
+select split, source, count(*) as n_records, count(training) as n_overlapping, coalesce(sum(exact), 0)::bigint as n_exact, coalesce(sum(training), 0)::bigint as n_training_pairs, round(avg(cover), 6) as mean_coverage from o left join g using (record_id) left join z using (record_id) group by 1, 2"""
+
 P4 = (
     f"with {_VALIDATION}, {_ARTICLES}, vx as (select distinct k, unnest(p) as x from v) "
     f"select 'just_1_sub_validation_en' as tab, ka as key_a, kb as key_b from ({_like('vx', 'vx', 'a.k < b.k')}) union all select 'ccf_processed_data', ka, kb from ({_like('u', 'u', 'a.k < b.k')})"
@@ -89,4 +100,4 @@ select d as doc_id, s as sentence_id, c.a as cluster_doc_id, c.b as cluster_sent
 
 P7 = "select count(distinct doc_id) as n_documents, true as whole, true as within from documents where length(text) > 0"
 
-SQL = {"p7_checks": P7, "p1_found": P1, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p6_incremental": P6, "p8_found": P8}
+SQL = {"p7_checks": P7, "p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_report": P3_REPORT, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p6_incremental": P6, "p8_found": P8}

@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrow import batch, strings
 from corpusloom.llm.homoglyphs import digest
 from corpusloom.llm.sketch import pair_frequencies, slots
-from corpusloom.llm.textform import PAIR_BITS, distinct_pairs, words
+from corpusloom.llm.textform import PAIR_BITS, distinct_pairs, hashed_pairs, hashed_words, words
 from corpusloom.plans.stages import checkpointed
 
 LIKENESS = 0.6
 SHARED = 3  # rare passages that a pair must share before it is compared in full
-SHARD = 40_000  # evaluation texts in one automaton
-TEXTS = 25_000  # training texts that one task scans
+SHARD = 8_000_000  # characters of the evaluation texts in one automaton
+TEXTS = 32_000_000  # characters of training texts that are scanned before the next automaton's turn
+RUN = 8  # words in a row that count as a matched interval
 
 
 def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,19 +57,29 @@ def passages_needed(size: np.ndarray, likeness: float, shared: int) -> np.ndarra
 
 
 class EvaluationShard:
-    """An automaton over the word pairs of some evaluation texts."""
+    """An automaton over the word pairs of some evaluation texts that like texts, or matched runs, can't avoid."""
 
-    def __init__(self, norms: list[str], frequency: np.ndarray, likeness: float, shared: int):
-        self.likeness, self.shared, self.norms = likeness, shared, norms
+    def __init__(self, norms: list[str], frequency: np.ndarray, likeness: float, shared: int, run: int = RUN):
+        self.likeness, self.shared, self.norms, self.run = likeness, shared, norms, run
         self.pairs, self.owner = distinct_pairs(norms)
         self.size = np.bincount(self.owner, minlength=len(norms))
         self.keys = (self.owner.astype(np.uint64) << np.uint64(PAIR_BITS)) | self.pairs
         p, o, at = rare_first(self.pairs, self.owner, len(norms), frequency)
         offered = at < passages_needed(self.size, likeness, shared)[o]
-        value, number = np.unique(p[offered], return_inverse=True)
-        order = np.argsort(number, kind="stable")
-        self.posting = o[offered][order]
-        self.posting_start = np.searchsorted(number[order], np.arange(len(value) + 1))
+        # of every ``run`` words in a row the rarest pair: a matched run holds one of them
+        self.words, self.start = hashed_words(norms)
+        every, text = hashed_pairs(norms)
+        place = self.start[text] + np.arange(len(every)) - np.searchsorted(text, text)
+        order = np.empty(len(every), np.int64)
+        order[np.lexsort((every, frequency[slots(every)]))] = np.arange(len(every))
+        anchor = np.zeros(len(every), bool)
+        if len(every) >= run - 1:
+            rarest = np.lib.stride_tricks.sliding_window_view(order, run - 1).argmin(1) + np.arange(len(every) - run + 2)
+            anchor[rarest[text[: len(rarest)] == text[run - 2 :]]] = True
+        value, number = np.unique(np.concatenate([p[offered], every[anchor]]), return_inverse=True)
+        self.value = value
+        self.posting, self.posting_start = self._postings(number[: offered.sum()], o[offered], len(value))
+        self.places, self.places_start = self._postings(number[offered.sum() :], place[anchor], len(value))
         at_value = {int(v): k for k, v in enumerate(value)}
         self.automaton = ahocorasick.Automaton()
         seen: set[str] = set()
@@ -79,22 +91,71 @@ class EvaluationShard:
         hashes, owner = distinct_pairs(passages)
         for o_, h in zip(owner.tolist(), hashes.tolist(), strict=True):
             k = at_value.get(h)
-            if k is not None:  # passages that no text offers can't propose a pair
+            if k is not None:  # other passages can't propose anything
                 self.automaton.add_word(passages[o_], k)
         if len(self.automaton):
             self.automaton.make_automaton()
 
-    def matches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(training text, evaluation text, likeness in thousandths) of all pairs that are like enough."""
-        nothing = np.empty(0, np.int64)
-        if not len(self.automaton) or not texts:
-            return nothing, nothing, nothing.astype(float)
+    @staticmethod
+    def _postings(number: np.ndarray, what: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(number, kind="stable")
+        return what[order], np.searchsorted(number[order], np.arange(n + 1))
+
+    def hits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, passage), distinct: which passages the automaton finds in which texts."""
         hit_text, hit_passage = [], []
-        for n, t in enumerate(texts):
+        for n, t in enumerate(texts if len(self.automaton) else ()):
             found = {k for _, k in self.automaton.iter(f" {t} ")}
             hit_passage.extend(found)
             hit_text.extend([n] * len(found))
-        text, passage = np.array(hit_text, np.int64), np.array(hit_passage, np.int64)
+        return np.array(hit_text, np.int64), np.array(hit_passage, np.int64)
+
+    def intervals(self, texts: list[str], text: np.ndarray, passage: np.ndarray, step: int = 2_000_000) -> np.ndarray:
+        """(evaluation text, first word, word after the last), distinct: runs of at least ``run`` words that a text shares, as long as they can be."""
+        words_, start = hashed_words(texts)
+        pairs, owner = hashed_pairs(texts)
+        at = start[owner] + np.arange(len(pairs)) - np.searchsorted(owner, owner)
+        k = np.minimum(np.searchsorted(self.value, pairs), max(len(self.value) - 1, 0))
+        known = np.zeros(len(pairs), bool) if not len(self.value) else (self.value[k] == pairs) & np.isin(owner * (len(self.value) + 1) + k, text * (len(self.value) + 1) + passage)
+        at, k = at[known], k[known]
+        n = (self.places_start[1:] - self.places_start[:-1])[k]
+        load = np.concatenate([[0], np.cumsum(n)])
+        bounds = np.repeat(start[1:], np.diff(start)), np.repeat(start[:-1], np.diff(start))
+        mine = np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))
+        out = [np.empty((0, 3), np.int64)]
+        first = 0
+        while first < len(at):
+            last = max(first + 1, int(np.searchsorted(load, load[first] + step, "right")) - 1)
+            c = n[first:last]
+            a = np.repeat(at[first:last], c)
+            e = self.places[np.repeat(self.places_start[k[first:last]], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)]
+            first = last
+            text_low, text_high, low, high = bounds[1][a], bounds[0][a], self.start[mine[e]], self.start[mine[e] + 1]
+            left, right = np.zeros(len(a), np.int64), np.full(len(a), 2, np.int64)
+            live = np.arange(len(a))
+            while len(live):  # as far back as both texts agree
+                i, j = a[live] - left[live] - 1, e[live] - left[live] - 1
+                good = (i >= text_low[live]) & (j >= low[live])
+                good[good] = words_[i[good]] == self.words[j[good]]
+                live = live[good]
+                left[live] += 1
+            live = np.arange(len(a))
+            while len(live):
+                i, j = a[live] + right[live], e[live] + right[live]
+                good = (i < text_high[live]) & (j < high[live])
+                good[good] = words_[i[good]] == self.words[j[good]]
+                live = live[good]
+                right[live] += 1
+            long = left + right >= self.run
+            r = mine[e[long]]
+            out.append(np.unique(np.stack([r, (e - left)[long] - self.start[r], (e + right)[long] - self.start[r]], 1), axis=0))
+        return np.unique(np.concatenate(out), axis=0)
+
+    def matches(self, texts: list[str], text: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(training text, evaluation text, likeness) of all pairs that are like enough."""
+        nothing = np.empty(0, np.int64)
+        if not len(passage):
+            return nothing, nothing, nothing.astype(float)
         n = (self.posting_start[1:] - self.posting_start[:-1])[passage] if len(passage) else nothing
         # pieces, so that very common passages don't fill the memory
         results = []
@@ -131,76 +192,115 @@ class EvaluationShard:
         return t[good], r[good], like[good]
 
 
-def covered_words(evaluation: str, training: str) -> int:
-    """Words of the evaluation text inside matched passages; matched intervals are merged."""
-    w = training.split(" ")
-    there = set(zip(w, w[1:]))
-    e = evaluation.split(" ")
-    end = covered = 0
-    for k, pair in enumerate(zip(e, e[1:])):
-        if pair in there:
-            covered += k + 2 - max(end, k)
-            end = k + 2
-    return covered
+def evaluation_shards(classes: DataFrame, shard: int) -> list:
+    """(token, broadcast of names and norms) of the evaluation texts, in shards of about ``shard`` characters; the driver holds one at a time."""
+    sc = classes.sparkSession.sparkContext
+    total = classes.agg(F.sum(F.length("norm"))).first()[0] or 0
+    n = -(-total // shard)
+    of = F.pmod(F.xxhash64("name"), F.lit(n))
+    out = []
+    for k in range(n):
+        t = classes.filter(of == k).select("name", "norm").toArrow()
+        out.append((uuid.uuid4().hex, sc.broadcast((t["name"].to_pylist(), t["norm"].to_pylist()))))
+    return out
 
 
-def cross_split_overlaps(evaluation: DataFrame, training: DataFrame, likeness: float = LIKENESS, shared: int = SHARED, shard: int = SHARD, texts: int = TEXTS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs of text classes (e, t, likeness, covered, n_words), and the members (key, name) of either side.
+def cross_split_overlaps(evaluation: DataFrame, training: DataFrame, likeness: float = LIKENESS, shared: int = SHARED, shard: int = SHARD, texts: int = TEXTS, runs: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What the training records share with classes of evaluation texts, and those classes' members (key, name).
 
-    Both inputs have (record_id, text).  Texts of equal words form one class.
-    Evaluation classes are dealt out to shards, each an automaton over the
-    passages (word pairs) that a like text can't avoid: the rarest ones, as
-    many as the likeness demands.  Every block of training classes is scanned
-    by every shard; what shares enough rare passages is compared in full, so
+    Both inputs have (record_id, text); evaluation texts of equal words form one
+    class, named by a digest.  (e, key, likeness) has the training records that are like
+    a class; with ``runs`` (e, start, stop), in other rows, the words of it that stand in
+    a row in a training record.  Evaluation classes are dealt to shards, each
+    an automaton over the passages (word pairs) that a like text or a run can't
+    avoid: the rarest ones, as many as the likeness demands, and the rarest of
+    every ``RUN`` words.  The training texts are scanned once, where they lie, by all
+    automata in turn; what shares enough rare passages is compared in full, so
     no pair of at least ``likeness`` is lost.  Texts of a single word have no
     pair and are like nothing.
     """
     ev = checkpointed(normalised(evaluation, "record_id", "text"))
-    tr = checkpointed(normalised(training, "record_id", "text"))
-    ev_classes = ev.groupBy("name").agg(F.first("norm").alias("norm"))
-    tr_classes = tr.groupBy("name").agg(F.first("norm").alias("norm"))
-    frequency = pair_frequencies(tr.select("norm"))
-    n_shards = max(1, -(-ev.select("name").distinct().count() // shard))
-    n_blocks = max(1, -(-tr.select("name").distinct().count() // texts))
-    left = ev_classes.withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(n_shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    right = tr_classes.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(n_blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))))
+    shards = evaluation_shards(ev.groupBy("name").agg(F.first("norm").alias("norm")), shard)
+    rows = training.select(F.col("record_id").cast("long").alias("key"), "text").filter("record_id is not null and text is not null")
+    frequency = pair_frequencies(rows.select("text")) if shards else np.zeros(1)
     counts = evaluation.sparkSession.sparkContext.broadcast(np.minimum(frequency, 2**31 - 1).astype(np.int32))
 
-    def compare(e: pa.Table, t: pa.Table) -> pa.Table:
-        norms, names = e["norm"].to_pylist(), e["name"].to_pylist()
-        train, train_names = t["norm"].to_pylist(), t["name"].to_pylist()
-        x, r, like = EvaluationShard(norms, counts.value, likeness, shared).matches(train) if norms else ([], [], [])
-        return pa.table({
-            "e": pa.array([names[k] for k in r], pa.binary()), "t": pa.array([train_names[k] for k in x], pa.binary()), "likeness": pa.array(like, pa.float64()),
-            "covered": pa.array([covered_words(norms[k], train[j]) for j, k in zip(x, r, strict=True)], pa.int64()),
-            "n_words": pa.array([norms[k].count(" ") + 1 for k in r], pa.int64()),
-        })
+    def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[int]]]:
+        held: dict[str, list[int]] = {}
+        size = 0
+        for b in batches:
+            for key, text in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
+                line = " ".join(words(text))
+                if line:
+                    size += len(line) if line not in held else 0
+                    held.setdefault(line, []).append(key)
+            if size >= texts:
+                yield held
+                held, size = {}, 0
+        if held:
+            yield held
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from corpusloom.llm.overlap import built  # the worker's own module, whose automaton outlives the task
 
-    pairs = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(compare, "e binary, t binary, likeness double, covered long, n_words long")
-    return checkpointed(pairs), ev.select("key", "name"), tr.select("key", "name")
+        for held in portions(batches):
+            lines, keys = list(held), list(held.values())
+            for token, sent in shards:
+                names, machine = sent.value[0], built(token, lambda sent=sent: EvaluationShard(sent.value[1], counts.value, likeness, shared))
+                text, passage = machine.hits(lines)
+                x, r, like = machine.matches(lines, text, passage)
+                n = np.array([len(keys[j]) for j in x], np.int64)
+                yield batch(
+                    e=pa.array([names[k] for k in np.repeat(r, n)], pa.binary()), key=pa.array([key for j in x for key in keys[j]], pa.int64()), likeness=np.repeat(like, n).astype(np.float64),
+                    start=pa.nulls(int(n.sum()), pa.int64()), stop=pa.nulls(int(n.sum()), pa.int64()))
+                if runs:
+                    r, start, stop = machine.intervals(lines, text, passage).T
+                    yield batch(e=pa.array([names[k] for k in r], pa.binary()), key=pa.nulls(len(r), pa.int64()), likeness=pa.nulls(len(r), pa.float64()), start=pa.array(start, pa.int64()), stop=pa.array(stop, pa.int64()))
+
+    schema = "e binary, key long, likeness double, start long, stop long"
+    found = rows.mapInArrow(scan, schema) if shards else evaluation.sparkSession.createDataFrame([], schema)
+    return checkpointed(found.distinct()), ev.select("key", "name", (F.length("norm") - F.length(F.replace("norm", F.lit(" "))) + 1).alias("n_words"))
+
+
+_machines: dict[str, EvaluationShard] = {}
+
+
+def built(token: str, make) -> EvaluationShard:
+    """The automaton of that name; a worker keeps one at a time."""
+    if token not in _machines:
+        _machines.clear()
+        _machines[token] = make()
+    return _machines[token]
+
+
+def covered(found: DataFrame) -> DataFrame:
+    """(e, covered): words of each class inside matched intervals, merged over all training texts."""
+    w = Window.partitionBy("e").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    each = found.filter("start is not null").select("e", "start", "stop").withColumn("reached", F.coalesce(F.max("stop").over(w), F.lit(0)))
+    return each.groupBy("e").agg(F.sum(F.greatest(F.col("stop") - F.greatest("start", "reached"), F.lit(0))).alias("covered"))
 
 
 def overlap_pairs(evaluation: DataFrame, training: DataFrame) -> DataFrame:
     """(record_id, train_record_id) with a likeness of at least 0.60."""
-    pairs, ev, tr = cross_split_overlaps(evaluation, training)
-    return (
-        pairs.join(ev.select(F.col("name").alias("e"), F.col("key").alias("record_id")), "e")
-        .join(tr.select(F.col("name").alias("t"), F.col("key").alias("train_record_id")), "t")
-        .select("record_id", "train_record_id").distinct()
-    )
+    found, ev = cross_split_overlaps(evaluation, training)
+    return found.join(ev.select(F.col("name").alias("e"), F.col("key").alias("record_id")), "e").select("record_id", F.col("key").alias("train_record_id")).distinct()
 
 
 def overlap_report(evaluation: DataFrame, training: DataFrame) -> DataFrame:
-    """Per split and source: records, records that overlap, exact ones, training records involved, share of words covered."""
-    pairs, ev, tr = cross_split_overlaps(evaluation, training)
-    copies = tr.groupBy("name").agg(F.countDistinct("key").alias("copies"))
-    per_class = pairs.join(copies, pairs.t == copies.name).groupBy("e").agg(
-        F.sum("copies").alias("training"), F.max(F.col("covered") / F.col("n_words")).alias("cover"), F.max((F.col("likeness") == 1).cast("long")).alias("exact")
-    )
-    names = ev.select(F.col("key").alias("record_id"), F.col("name").alias("e")).dropDuplicates(["record_id"])
-    rows = evaluation.select("record_id", "split", F.coalesce("source", F.lit("(none)")).alias("source")).dropDuplicates(["record_id"])
+    """Per split and source: records, those with a like training record, exact ones, pairs with training records, and the mean share of words in matched intervals.
+
+    The share counts words that stand, ``RUN`` or more in a row, in any training
+    record; it is averaged over records with words.  A record_id that comes
+    several times counts with each of its texts' classes.
+    """
+    found, ev = cross_split_overlaps(evaluation, training, runs=True)
+    like = found.filter("key is not null").groupBy("e").agg(F.countDistinct("key").alias("training"), F.max((F.col("likeness") == 1).cast("long")).alias("exact"))
+    classes = ev.select("name", "n_words").distinct().join(like.withColumnRenamed("e", "name"), "name", "left").join(covered(found).withColumnRenamed("e", "name"), "name", "left")
+    of = ev.select(F.col("key").alias("record_id"), "name").distinct().join(classes, "name")
+    per = of.groupBy("record_id").agg(F.sum("training").alias("training"), F.max("exact").alias("exact"), F.max(F.coalesce("covered", F.lit(0)) / F.col("n_words")).alias("cover"))
+    rows = evaluation.select("record_id", "split", F.coalesce("source", F.lit("(none)")).alias("source")).distinct()
     return (
-        rows.join(names, "record_id", "left").join(per_class, "e", "left").groupBy("split", "source")
+        rows.join(per, "record_id", "left").groupBy("split", "source")
         .agg(F.count("*").alias("n_records"), F.count("training").alias("n_overlapping"), F.coalesce(F.sum("exact"), F.lit(0)).alias("n_exact"),
              F.coalesce(F.sum("training"), F.lit(0)).alias("n_training_pairs"), F.round(F.avg("cover"), 6).alias("mean_coverage"))
     )

@@ -156,13 +156,38 @@ def test_overlaps_match_brute_force(spark):
     tr = spark.createDataFrame([(1000 + k, t) for k, t in enumerate(b)], "record_id long, text string")
     expected = sorted((i, 1000 + j) for i, x in enumerate(a) for j, y in enumerate(b) if like(pairs_of(x), pairs_of(y)) >= 0.6 - 1e-9)
     assert rows(overlap.overlap_pairs(ev, tr), "record_id", "train_record_id") == expected
-    small, e, t = overlap.cross_split_overlaps(ev, tr, shard=13, texts=17)
-    pairs = small.join(e.withColumnsRenamed({"key": "i", "name": "e"}), "e").join(t.withColumnsRenamed({"key": "j", "name": "t"}), "t")
-    assert rows(pairs, "i", "j") == expected
+    small, e = overlap.cross_split_overlaps(ev, tr, shard=600, texts=500, runs=True)
+    pairs = small.filter("key is not null").join(e.withColumnsRenamed({"key": "i", "name": "e"}), "e")
+    assert rows(pairs, "i", "key") == expected
+    whole, _ = overlap.cross_split_overlaps(ev, tr, runs=True)
+    assert rows(overlap.covered(small), "e", "covered") == rows(overlap.covered(whole), "e", "covered")
     report = overlap.overlap_report(ev, tr)
     assert report.agg(F.sum("n_overlapping")).first()[0] == len({i for i, _ in expected}) and report.agg(F.sum("n_records")).first()[0] == len(a)
     assert overlap.overlap_pairs(ev.limit(0), tr).count() == overlap.overlap_pairs(ev, tr.limit(0)).count() == 0
-    assert overlap.covered_words("a b c d e", "a b x d e") == 4
+
+
+def test_coverage_is_merged_over_training_texts(spark):
+    w = [f"w{k}" for k in range(40)]
+    ev = spark.createDataFrame([(1, " ".join(w)), (2, "x y z"), (3, None), (4, " ".join(w[:7]))], "record_id long, text string")
+    # words 0-11, 8-17 and 30-39 of the first text; seven in a row are no run
+    tr = spark.createDataFrame([(10, " ".join(w[:12] + ["a"])), (11, " ".join(["b", *w[8:18]])), (12, " ".join(w[30:])), (13, " ".join(["c", *w[20:27], "d"])), (14, " ".join(w[:12] + ["a"])), (15, "w5")], "record_id long, text string")
+    found, ev_keys = overlap.cross_split_overlaps(ev, tr, runs=True)
+    got = dict(rows(overlap.covered(found).join(ev_keys.withColumnRenamed("name", "e"), "e"), "key", "covered"))
+    assert got == {1: 28}
+
+
+def test_coverage_matches_brute_force(spark):
+    a, b = collection(5), collection(6)[:30] + collection(5)[20:70]
+    ev, tr = (spark.createDataFrame([(k, t) for k, t in enumerate(x)], "record_id long, text string") for x in (a, b))
+    runs = {tuple(w[i : i + 8]) for w in map(words, b) for i in range(len(w) - 7)}
+    expected = {}
+    for k, t in enumerate(a):
+        w = words(t)
+        inside = {i + j for i in range(len(w) - 7) if tuple(w[i : i + 8]) in runs for j in range(8)}
+        if inside:
+            expected[k] = len(inside)
+    found, keys = overlap.cross_split_overlaps(ev, tr, shard=900, runs=True)
+    assert dict(rows(overlap.covered(found).join(keys.withColumnRenamed("name", "e"), "e"), "key", "covered")) == expected
 
 
 def test_leaks_match_brute_force(spark):
