@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -16,6 +17,7 @@ from corpusloom.llm import pii_labels as table
 from corpusloom.llm.arrow import batch, strings
 from corpusloom.llm.crf import Chain
 from corpusloom.llm.textform import consistent_form
+from corpusloom.plans.stages import checkpointed
 
 LABELS = ["O", "G", "X", "F", "R", "Eb", "Ei", "Pb", "Pi", "Ib", "Ii", "Ab", "Ai"]
 KIND = {"E": "email", "P": "phone", "I": "id", "A": "address"}
@@ -30,8 +32,6 @@ _AT, _DOT = {"at", "arobase", "@"}, {"dot", "point"}
 _LITERAL = {w.lower() for line in table.SENTENCES.split("\n") for w in re.findall(r"[^\W\d_]+", re.sub(r"[{<]\w[}>]", " ", line))}
 _LITERAL |= _STREETS | _AT | _DOT | {w.lower() for b in table.BODY_AFTER for w in b.split()} | {w.lower() for w in (*table.MONTHS, *table.FIRST)} | {w.strip().lower() for w in table.PLACE_AFTER if w} | {w for e in (*table.ENDINGS, "com", "org", "net") for w in e.split(".")}
 
-_NO_NAMES = {w.lower() for b in table.BODY_AFTER for w in b.split()} | {w.lower() for w in (*table.MONTHS, *table.FIRST)} | {w.strip().lower() for w in table.PLACE_AFTER if w}
-
 LOW, HIGH, DIGITS, POINT, BREAK = range(5)
 
 
@@ -139,8 +139,8 @@ def sign_of(piece: str) -> int:
 class Tagger:
     """The fitted chain with remembered scores of pieces it has seen."""
 
-    def __init__(self, chain: Chain, given: frozenset[str], bound: int = 400_000):
-        self.chain, self.given, self.bound = chain, given, bound
+    def __init__(self, chain: Chain, given: frozenset[str], common: frozenset[str] = frozenset(), bound: int = 400_000):
+        self.chain, self.given, self.common, self.bound = chain, given, common, bound
         self._reset()
 
     def _reset(self) -> None:
@@ -192,14 +192,14 @@ class Tagger:
         per_text: list[list] = [[] for _ in texts]
         owner = np.searchsorted(bounds, firsts, "right") - 1
         for k, a, b in zip(owner, firsts, lasts, strict=True):
-            for x, y, kind, value in spans(found, labels, int(a), int(b) + 1):
+            for x, y, kind, value in spans(found, labels, int(a), int(b) + 1, self.common):
                 per_text[k].append((x - bounds[k], y - bounds[k], kind, value))
         ends = [*(b - 2 for b in bounds[1:]), len(found) - 2]
         for k in range(len(texts)):
             yield found[bounds[k] : ends[k]], per_text[k]
 
 
-def spans(found: list[str], labels: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int, str, str]]:
+def spans(found: list[str], labels: np.ndarray, a: int, b: int, common: frozenset[str] = frozenset()) -> Iterator[tuple[int, int, str, str]]:
     """Findings among the pieces a..b, all of them labelled; each passes the exact check of its kind."""
     k = a
     while k < b:
@@ -220,7 +220,7 @@ def spans(found: list[str], labels: np.ndarray, a: int, b: int) -> Iterator[tupl
             g = end
             while end < b and LABELS[labels[end]] == "G":
                 end += 1
-            kind, value = "name", person([p.strip() for p in found[g:end]], family)
+            kind, value = "name", person([p.strip() for p in found[g:end]], family, common)
         elif tag == "G":
             while end < b and LABELS[labels[end]] == "G":
                 end += 1
@@ -230,7 +230,7 @@ def spans(found: list[str], labels: np.ndarray, a: int, b: int) -> Iterator[tupl
             f = end
             while end < b and LABELS[labels[end]] == "F":
                 end += 1
-            kind, value = "name", person([p.strip() for p in given], [p.strip() for p in found[f:end]])
+            kind, value = "name", person([p.strip() for p in given], [p.strip() for p in found[f:end]], common)
         else:
             kind, value = "", None
         if value:
@@ -238,10 +238,10 @@ def spans(found: list[str], labels: np.ndarray, a: int, b: int) -> Iterator[tupl
         k = end
 
 
-def person(given: list[str], family: list[str]) -> str | None:
-    """Given name, then family name, in lower case; both must be there and be words that no body, place or month is called by."""
+def person(given: list[str], family: list[str], common: frozenset[str] = frozenset()) -> str | None:
+    """Given name, then family name, in lower case; both must be there and be words that the corpus doesn't mostly write in lower case."""
     parts = [p.lower() for p in (*given, *family)]
-    return " ".join(parts) if given and family and all(p.replace("-", "").isalpha() and p not in _NO_NAMES for p in parts) else None
+    return " ".join(parts) if given and family and all(p.replace("-", "").isalpha() and p not in common for p in parts) else None
 
 
 _EMAIL = re.compile(r"[a-z0-9][a-z0-9._+-]*@[a-z0-9-]+(?:\.[a-z0-9-]+)+")
@@ -323,28 +323,47 @@ def fitted(fills: int = FILLS) -> Chain:
     return Chain(LABELS).fit(xs, ys, followers)
 
 
-def given_names(docs: DataFrame, names: DataFrame, name_column: str, families: int = FAMILIES) -> frozenset[str]:
-    """The listed given names, and those the chain finds before ``families`` different family names or more.
+def name_words(docs: DataFrame, names: DataFrame, name_column: str, families: int = FAMILIES) -> tuple[frozenset[str], frozenset[str]]:
+    """Given names: the listed ones and those the chain finds before ``families`` different family names or more; and words that are no names.
 
     The list is incomplete, so a first pass over all documents completes it.
+    What the chain takes for part of a name, but the corpus writes in lower case
+    more often than with a capital, is no name.
     """
     listed = [r[0] for r in names.select(name_column).filter(f"{name_column} is not null").distinct().limit(NAMES_MOST + 1).collect()]
-    if len(listed) > NAMES_MOST:
-        raise ValueError(f"more than {NAMES_MOST} given names")
-    known = frozenset(consistent_form(n).strip().lower() for n in listed)
+    known = frozenset(consistent_form(n).strip().lower() for n in _within(listed))
 
     def rows(keys, texts, tagged):
-        seen = {tuple(value.split(" ", 1)) for _, found in tagged for _, _, kind, value in found if kind == "name"}
+        count: Counter = Counter()
+        seen = set()
+        for found_pieces, found in tagged:
+            count.update(found_pieces)
+            seen.update(tuple(value.split(" ", 1)) for _, _, kind, value in found if kind == "name")
         each = [(part, family) for given, family in seen for part in given.split("-")]
-        return batch(given=pa.array([g for g, _ in each], pa.string()), family=pa.array([f for _, f in each], pa.string()))
+        parts = sorted({w for value in seen for w in " ".join(value).split(" ")})
+        times = lambda w: count[w] + count[" " + w]
+        low = [times(w) for w in parts]
+        high = [times(w.title()) + times(w.upper()) + times(w.capitalize()) * (w.capitalize() != w.title()) for w in parts]
+        none, empty = pa.nulls(len(parts), pa.string()), pa.nulls(len(each), pa.string())
+        return batch(
+            given=pa.concat_arrays([pa.array([g for g, _ in each], pa.string()), none]), family=pa.concat_arrays([pa.array([f for _, f in each], pa.string()), none]),
+            word=pa.concat_arrays([empty, pa.array(parts, pa.string())]), low=pa.array([0] * len(each) + low, pa.int64()), high=pa.array([0] * len(each) + high, pa.int64()))
+
+    found = checkpointed(_tagged(docs, known, frozenset(), "given string, family string, word string, low long, high long", rows))
+    common = found.filter("word is not null").groupBy("word").agg(F.sum("low").alias("low"), F.sum("high").alias("high")).filter("low > high")
+    common = frozenset(_within([r["word"] for r in common.limit(NAMES_MOST + 1).collect()]))
+    often = found.filter("given is not null").groupBy("given").agg(F.countDistinct("family").alias("n")).filter(F.col("n") >= families)
+    return known | frozenset(_within([r["given"] for r in often.limit(NAMES_MOST + 1).collect()])) - common, common
+
 
-    pairs = _tagged(docs, known, "given string, family string", rows)
-    often = pairs.groupBy("given").agg(F.countDistinct("family").alias("n")).filter(F.col("n") >= families).orderBy(F.desc("n"), "given").limit(NAMES_MOST)
-    return known | {r["given"] for r in often.collect()}
+def _within(names: list[str]) -> list[str]:
+    if len(names) > NAMES_MOST:
+        raise ValueError(f"more than {NAMES_MOST} names")
+    return names
 
 
-def _tagged(docs: DataFrame, given: frozenset[str], schema: str, rows) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast((fitted(), given))
+def _tagged(docs: DataFrame, given: frozenset[str], common: frozenset[str], schema: str, rows) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast((fitted(), given, common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(*sent.value)
@@ -380,7 +399,7 @@ def findings(documents: DataFrame, names: DataFrame, key: str = "doc_id", text:
         return batch(doc_id=pa.array([s[0] for s in seen], pa.int64()), kind=pa.array([s[1] for s in seen], pa.string()), value=pa.array([s[2] for s in seen], pa.string()))
 
     docs = documents.select(F.col(key).cast("long"), F.col(text)).filter(f"{key} is not null and {text} is not null")
-    return _tagged(docs, given_names(docs, names, name_column), "doc_id long, kind string, value string", rows).distinct()
+    return _tagged(docs, *name_words(docs, names, name_column), "doc_id long, kind string, value string", rows).distinct()
 
 
 def masked(documents: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", name_column: str = "given_name") -> DataFrame:
@@ -401,4 +420,4 @@ def masked(documents: DataFrame, names: DataFrame, key: str = "doc_id", text: st
         return batch(doc_id=pa.array(keys, pa.int64()), text=pa.array(out, pa.string()), n_found=pa.array(counts, pa.int64()))
 
     docs = documents.select(F.col(key).cast("long"), F.col(text)).filter(f"{key} is not null")
-    return _tagged(docs, given_names(docs, names, name_column), "doc_id long, text string, n_found long", rows)
+    return _tagged(docs, *name_words(docs, names, name_column), "doc_id long, text string, n_found long", rows)
