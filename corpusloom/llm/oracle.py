@@ -65,6 +65,15 @@ P4 = (
     f"select 'just_1_sub_validation_en' as tab, ka as key_a, kb as key_b from ({_like('vx', 'vx', 'a.k < b.k')}) union all select 'ccf_processed_data', ka, kb from ({_like('u', 'u', 'a.k < b.k')})"
 )
 
+P4_GROUPS = f"""
+with recursive {_VALIDATION}, {_ARTICLES}, s as (select 'just_1_sub_validation_en' as tab, k, x from (select distinct k, unnest(p) as x from v) union all select 'ccf_processed_data', k, x from u),
+c as (select tab, k, min(k) over (partition by tab, p) as rep from (select tab, k, list_sort(list(x)) as p from s group by 1, 2)),
+e as (select s.* from s join c using (tab, k) where c.rep = s.k), n as (select tab, k, count(*) as n from e group by 1, 2),
+l as (select a.tab, a.k as a, b.k as b from e a join e b on a.tab = b.tab and a.x = b.x and a.k <> b.k join n na on (na.tab, na.k) = (a.tab, a.k) join n nb on (nb.tab, nb.k) = (b.tab, b.k) group by a.tab, a.k, b.k, na.n, nb.n having count(*) >= 0.6 * (na.n + nb.n - count(*)) - 1e-9),
+reach(tab, k, other) as (select distinct tab, rep, rep from c union select r.tab, r.k, l.b from reach r join l on l.tab = r.tab and l.a = r.other),
+g as (select tab, k, min(other) as group_key from reach group by 1, 2)
+select c.tab, c.k as key, c.rep as class_key, g.group_key, (select count(*) from l where l.tab = c.tab and l.a = c.rep) as n_links from c join g on g.tab = c.tab and g.k = c.rep"""
+
 P5 = f"with f as (select distinct record_id as k, text, {form('text')} as f from just_1_sub_validation_en where text is not null) select distinct a.k as record_id_a, b.k as record_id_b from f a join f b on a.f = b.f and a.k < b.k and a.text <> b.text where trim(a.f, ' \t\n\r') <> ''"
 
 P6 = f"""
@@ -100,4 +109,4 @@ select d as doc_id, s as sentence_id, c.a as cluster_doc_id, c.b as cluster_sent
 
 P7 = "select count(distinct doc_id) as n_documents, true as whole, true as within from documents where length(text) > 0"
 
-SQL = {"p7_checks": P7, "p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_report": P3_REPORT, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p6_incremental": P6, "p8_found": P8}
+SQL = {"p7_checks": P7, "p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_report": P3_REPORT, "p4_found": P4, "p4_groups": P4_GROUPS, "p5_found": P5, "p6_found": P6, "p6_incremental": P6, "p8_found": P8}
