@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.arrow import batch, strings
 from corpusloom.llm.homoglyphs import digest
 from corpusloom.llm.sketch import pair_frequencies, slots
-from corpusloom.llm.textform import PAIR_BITS, distinct_pairs, hashed_pairs, hashed_words, words
+from corpusloom.llm.textform import PAIR_BITS, distinct_of, distinct_pairs, hashed_words, pairs_of_words, words
 from corpusloom.plans.stages import checkpointed
 
 LIKENESS = 0.6
@@ -59,40 +59,39 @@ def passages_needed(size: np.ndarray, likeness: float, shared: int) -> np.ndarra
 class EvaluationShard:
     """An automaton over the word pairs of some evaluation texts that like texts, or matched runs, can't avoid."""
 
-    def __init__(self, norms: list[str], frequency: np.ndarray, likeness: float, shared: int, run: int = RUN):
+    def __init__(self, norms: list[str], frequency: np.ndarray, likeness: float, shared: int, run: int | None = RUN):
         self.likeness, self.shared, self.norms, self.run = likeness, shared, norms, run
-        self.pairs, self.owner = distinct_pairs(norms)
+        self.words, self.start = hashed_words(norms)
+        every, text = pairs_of_words(self.words, self.start)
+        self.pairs, self.owner = distinct_of(every, text)
         self.size = np.bincount(self.owner, minlength=len(norms))
         self.keys = (self.owner.astype(np.uint64) << np.uint64(PAIR_BITS)) | self.pairs
         p, o, at = rare_first(self.pairs, self.owner, len(norms), frequency)
         offered = at < passages_needed(self.size, likeness, shared)[o]
         # of every ``run`` words in a row the rarest pair: a matched run holds one of them
-        self.words, self.start = hashed_words(norms)
-        every, text = hashed_pairs(norms)
-        place = self.start[text] + np.arange(len(every)) - np.searchsorted(text, text)
+        first_word = self.start[text] + np.arange(len(every)) - np.searchsorted(text, text)
         order = np.empty(len(every), np.int64)
         order[np.lexsort((every, frequency[slots(every)]))] = np.arange(len(every))
         anchor = np.zeros(len(every), bool)
-        if len(every) >= run - 1:
+        if run is not None and len(every) >= run - 1:
             rarest = np.lib.stride_tricks.sliding_window_view(order, run - 1).argmin(1) + np.arange(len(every) - run + 2)
             anchor[rarest[text[: len(rarest)] == text[run - 2 :]]] = True
         value, number = np.unique(np.concatenate([p[offered], every[anchor]]), return_inverse=True)
         self.value = value
         self.posting, self.posting_start = self._postings(number[: offered.sum()], o[offered], len(value))
-        self.places, self.places_start = self._postings(number[offered.sum() :], place[anchor], len(value))
-        at_value = {int(v): k for k, v in enumerate(value)}
+        self.places, self.places_start = self._postings(number[offered.sum() :], first_word[anchor], len(value))
         self.automaton = ahocorasick.Automaton()
-        seen: set[str] = set()
-        for norm in norms:
-            w = norm.split(" ")
-            for pair in zip(w, w[1:]):
-                seen.add(f" {pair[0]} {pair[1]} ")
-        passages = sorted(seen)
-        hashes, owner = distinct_pairs(passages)
-        for o_, h in zip(owner.tolist(), hashes.tolist(), strict=True):
-            k = at_value.get(h)
-            if k is not None:  # other passages can't propose anything
-                self.automaton.add_word(passages[o_], k)
+        # where each passage stands first tells its words; different passages of one hash are all looked for
+        wanted = np.minimum(np.searchsorted(value, every), max(len(value) - 1, 0)) if len(value) else np.empty(0, np.int64)
+        known = np.flatnonzero(value[wanted] == every) if len(value) else wanted
+        at = first_word[known]
+        _, one = np.unique(self.words[at] * np.uint64(0x9E3779B97F4A7C15) + self.words[at + 1], return_index=True)
+        one = known[np.sort(one)]
+        last, parts = -1, []
+        for t, k, p_ in zip(text[one].tolist(), wanted[one].tolist(), (first_word[one] - self.start[text[one]]).tolist(), strict=True):
+            if t != last:
+                last, parts = t, norms[t].split(" ")
+            self.automaton.add_word(f" {parts[p_]} {parts[p_ + 1]} ", k)
         if len(self.automaton):
             self.automaton.make_automaton()
 
@@ -113,7 +112,7 @@ class EvaluationShard:
     def intervals(self, texts: list[str], text: np.ndarray, passage: np.ndarray, step: int = 2_000_000) -> np.ndarray:
         """(evaluation text, first word, word after the last), distinct: runs of at least ``run`` words that a text shares, as long as they can be."""
         words_, start = hashed_words(texts)
-        pairs, owner = hashed_pairs(texts)
+        pairs, owner = pairs_of_words(words_, start)
         at = start[owner] + np.arange(len(pairs)) - np.searchsorted(owner, owner)
         k = np.minimum(np.searchsorted(self.value, pairs), max(len(self.value) - 1, 0))
         known = np.zeros(len(pairs), bool) if not len(self.value) else (self.value[k] == pairs) & np.isin(owner * (len(self.value) + 1) + k, text * (len(self.value) + 1) + passage)
@@ -246,7 +245,7 @@ def cross_split_overlaps(evaluation: DataFrame, training: DataFrame, likeness: f
         for held in portions(batches):
             lines, keys = list(held), list(held.values())
             for token, sent in shards:
-                names, machine = sent.value[0], built(token, lambda sent=sent: EvaluationShard(sent.value[1], counts.value, likeness, shared))
+                names, machine = sent.value[0], built(token, lambda sent=sent: EvaluationShard(sent.value[1], counts.value, likeness, shared, RUN if runs else None))
                 text, passage = machine.hits(lines)
                 x, r, like = machine.matches(lines, text, passage)
                 n = np.array([len(keys[j]) for j in x], np.int64)

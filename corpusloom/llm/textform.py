@@ -162,8 +162,12 @@ def pair_hashes(word_hashes: np.ndarray) -> np.ndarray:
 
 def hashed_pairs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the adjacent word pairs of many texts, and the number of each one's text."""
-    h, start = hashed_words(texts)
-    owner = np.repeat(np.arange(len(texts)), np.diff(start))
+    return pairs_of_words(*hashed_words(texts))
+
+
+def pairs_of_words(h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the adjacent pairs of hashed words, and the number of each one's text."""
+    owner = np.repeat(np.arange(len(start) - 1), np.diff(start))
     pairs = pair_hashes(h)
     same = owner[:-1] == owner[1:]
     return pairs[same], owner[:-1][same]
@@ -172,8 +176,11 @@ def hashed_pairs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def distinct_pairs(texts: list[str | None], owner_of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (owner, pair hash), sorted by owner, then hash; an owner may hold several texts."""
     pairs, owner = hashed_pairs(texts)
-    if owner_of is not None:
-        owner = owner_of[owner]
+    return distinct_of(pairs, owner if owner_of is None else owner_of[owner])
+
+
+def distinct_of(pairs: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (owner, pair hash), sorted by owner, then hash."""
     found_pairs, found_owner = [], []
     part = owner >> 16  # 16 bits of the key hold the owner
     for k in np.unique(part) if len(part) else ():
