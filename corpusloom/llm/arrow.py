@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
 
@@ -12,14 +10,6 @@ def strings(column: pa.Array) -> list[str | None]:
     return column.to_pylist()
 
 
-def binaries(rows: np.ndarray) -> pa.Array:
-    """Rows of a 2-d array as fixed pieces of one binary column."""
-    rows = np.ascontiguousarray(rows)
-    n, width = len(rows), rows.dtype.itemsize * (rows.shape[1] if rows.ndim > 1 else 1)
-    offsets = pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)[: n + 1].tobytes()) if n else pa.py_buffer(np.zeros(1, np.int32).tobytes())
-    return pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(rows.tobytes())])
-
-
 def ragged_binaries(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     """Consecutive runs of ``values``, ``counts`` long, as one binary column."""
     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * np.int32(values.dtype.itemsize)
@@ -28,37 +18,3 @@ def ragged_binaries(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 def batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
-
-
-def grouped(batches: Iterable[pa.RecordBatch], keys: list[str], target: int = 200_000) -> Iterator[pa.Table]:
-    """Tables of whole groups, of about ``target`` rows, from batches that are sorted by ``keys``.
-
-    The last group of what has been read stays back until the next one begins,
-    so a table never cuts a group.
-    """
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        rows += b.num_rows
-        if rows >= target:
-            t = pa.Table.from_batches(held).combine_chunks()
-            cut = group_starts(t, keys)[-1]
-            if cut:
-                yield t.slice(0, cut)
-                held = t.slice(cut).to_batches()
-                rows -= cut
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def group_starts(t: pa.Table, keys: list[str]) -> np.ndarray:
-    """Row numbers at which a new group begins."""
-    new = np.zeros(t.num_rows, bool)
-    new[:1] = True
-    for k in keys:
-        c = t[k].to_numpy()
-        new[1:] |= c[1:] != c[:-1]
-    return np.flatnonzero(new)
