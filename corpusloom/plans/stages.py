@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -15,7 +17,7 @@ def prepared(spark: SparkSession) -> SparkSession:
     """Make sure that workers can import this package and that there is a checkpoint folder.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a
-    local session without that setting gets a temporary one of its own.
+    local session without that setting gets a temporary one of its own, which goes when the session ends.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -24,6 +26,7 @@ def prepared(spark: SparkSession) -> SparkSession:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="corpusloom-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
         sc.setCheckpointDir(shared)
     paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:

@@ -115,3 +115,15 @@ def test_report_tables(spark, tmp_path):
     agreement.export(str(tmp_path), {"overall": df, "per_label": df}, {"overall": ["code"], "per_label": ["code"]})
     assert sorted(p.name for p in tmp_path.iterdir()) == ["overall", "per_label"]
     assert [tuple(r) for r in spark.read.csv(str(tmp_path / "overall"), header=True).collect()] == [("a", "--"), ("b", "0.5000")]
+
+
+def test_jdbc(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path / 'db'};create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    try:
+        spark._jvm.java.lang.Class.forName(driver)
+    except Exception:
+        pytest.skip("no database driver")
+    spark.range(50).selectExpr("id as K", "cast(id * 2 as double) as V").write.format("jdbc").option("url", url).option("dbtable", "t").option("driver", driver).save()
+    whole = files.jdbc(spark, url, "t", driver=driver)
+    parts = files.jdbc(spark, url, "(select * from t where k >= 10) x", ("K", 0, 50, 4), driver=driver)
+    assert whole.count() == 50 and parts.count() == 40 and parts.rdd.getNumPartitions() == 4
