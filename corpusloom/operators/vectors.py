@@ -1,4 +1,4 @@
-"""Exact vector search with a stated query set, in blocks."""
+"""Vector search with a stated query set: exact in blocks, and over an index of cells."""
 
 from __future__ import annotations
 
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QUERIES = 4096  # query vectors that the workers are sent at once
+SAMPLE = 16_384  # vectors that the cells of an index are fitted to, at most
+CELLS = 1024  # cells of an index, at most
+PIECE = 32_768  # vectors of one piece of a large cell
 
 
 def norms(df: DataFrame, vector: str, name: str = "norm") -> DataFrame:
@@ -95,3 +98,72 @@ def within(df: DataFrame, queries: DataFrame, key: str, vector: str, dim: int, f
                 yield keys[a][other], names[i : i + 2048][b][other], s[a, b][other]
 
     return _searched(df, queries, key, vector, dim, scan)
+
+
+def fitted_cells(df: DataFrame, key: str, vector: str, dim: int, rounds: int = 6) -> np.ndarray:
+    """Unit centres of about as many cells as the root of the rows, by spherical k-means on a bounded sample picked by a hash of the key."""
+    total = df.count()
+    share = min(1.0, SAMPLE / max(total, 1))
+    picked = df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(np.ceil(share * (1 << 30)))).orderBy(F.xxhash64(key)).limit(SAMPLE)
+    _, x = usable(picked.select(F.col(vector).cast("array<double>").alias("v")).toArrow()["v"].combine_chunks(), dim)
+    centres = x[: max(1, min(CELLS, int(np.sqrt(total)), len(x)))]
+    for _ in range(rounds if len(x) else 0):
+        home = (x @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, home, x)
+        n = np.sqrt((sums * sums).sum(1, keepdims=True))
+        centres = np.where(n > 0, sums / np.where(n > 0, n, 1), centres)
+    return centres
+
+
+def indexed(df: DataFrame, key: str, vector: str, dim: int, centres: np.ndarray) -> DataFrame:
+    """(cell, key, v): every usable vector, of length 1, in the cell of its nearest centre; written with ``partitionBy("cell")`` it is the index."""
+    sent = df.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, x = usable(b.column(1), dim)
+            home = (x @ sent.value.T).argmax(1) if len(sent.value) else np.zeros(len(x), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), b.column(0).take(pa.array(at)), pa.array(list(x), pa.list_(pa.float64()))], names=["cell", "key", "v"])
+
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).filter("key is not null and v is not null")
+    return rows.mapInArrow(run, "cell int, key long, v array<double>")
+
+
+def index_top_k(index: DataFrame, centres: np.ndarray, queries: DataFrame, key: str, vector: str, dim: int, k: int, probes: int) -> DataFrame:
+    """(query, key, similarity, rank): the k most similar rows in the ``probes`` cells nearest to each query; approximate unless all cells are asked.
+
+    Large cells are cut into pieces by a hash of the key, and each piece is one
+    group.  Ties go to the smaller key; a row isn't compared with its own key.
+    """
+    sent = index.sparkSession.sparkContext.broadcast(centres)
+    sizes = index.groupBy("cell").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))  # one row per cell
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, x = usable(b.column(1), dim)
+            near = np.argsort(-(x @ sent.value.T), 1, kind="stable")[:, :probes]
+            n = near.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), b.column(0).take(pa.array(np.repeat(at, n))), pa.array(list(np.repeat(x, n, 0)), pa.list_(pa.float64()))], names=["cell", "key", "v"])
+
+    asked = queries.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).filter("key is not null and v is not null").mapInArrow(probe, "cell int, key long, v array<double>")
+    asked = asked.join(F.broadcast(sizes), "cell").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+    stored = index.join(F.broadcast(sizes), "cell").withColumn("piece", F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int")).drop("pieces")
+
+    def search(a: pa.Table, b: pa.Table) -> pa.Table:
+        q, x = (np.array(t["v"].to_pylist(), np.float64).reshape(-1, dim) for t in (a, b))
+        qk, xk = a["key"].to_numpy(), b["key"].to_numpy()
+        out = []
+        for i in range(0, len(q) if len(x) else 0, 256):
+            s = np.round(q[i : i + 256] @ x.T, 9)
+            s[qk[i : i + 256, None] == xk[None]] = -np.inf
+            order = np.lexsort((np.broadcast_to(xk, s.shape), -s), axis=1)[:, :k]
+            best = np.take_along_axis(s, order, 1)
+            r, c = np.nonzero(np.isfinite(best))
+            out.append((qk[i + r], xk[order[r, c]], best[r, c]))
+        one, two, three = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table({"query": one, "key": two, "similarity": three})
+
+    found = asked.groupBy("cell", "piece").cogroup(stored.groupBy("cell", "piece")).applyInArrow(search, "query long, key long, similarity double")
+    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "key")
+    return found.distinct().withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -266,3 +266,22 @@ def test_blinding_and_unlabelled(spark):
     assert all(r["label"] == [] for r in annotate.blinded(df).collect()) and annotate.blinded(df.drop("label")).columns == df.drop("label").columns
     assert values(annotate.unlabelled(df, "a", "t"), "k") == [(1,), (4,)] and values(annotate.unlabelled(df, "a", "t", "p", "EN"), "k") == [(1,)]
     assert values(annotate.unlabelled(df, "a", "t", limit=1, order=["k"]), "k") == [(1,)]
+
+
+def test_vector_index(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    x = np.concatenate([c + 0.4 * r.standard_normal((60, 12)) for c in r.standard_normal((12, 12))])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(9000, None), (9001, [1.0]), (9002, [0.0] * 12), (None, x[0].tolist())], "k long, v array<double>").repartition(3)
+    monkeypatch.setattr(vectors, "PIECE", 20)
+    centres = vectors.fitted_cells(df, "k", "v", 12)
+    index = vectors.indexed(df, "k", "v", 12, centres)
+    queries = df.filter("k % 10 = 0")
+    assert index.count() == len(x) and 1 < len(centres) <= 27
+    best = lambda t: {(r["query"], r["key"]) for r in t.collect()}
+    exact = best(vectors.top_k(df, queries, "k", "v", 12, 5))
+    assert best(vectors.index_top_k(index, centres, queries, "k", "v", 12, 5, len(centres))) == exact
+    assert len(best(vectors.index_top_k(index, centres, queries, "k", "v", 12, 5, 6)) & exact) >= 0.9 * len(exact)
+    nothing = vectors.fitted_cells(df.limit(0), "k", "v", 12)
+    assert vectors.index_top_k(vectors.indexed(df.limit(0), "k", "v", 12, nothing), nothing, queries.limit(0), "k", "v", 12, 5, 3).count() == 0
